@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .licenses import op1_licenses
 from .mixing import OP9_SQL, op9_mixing
+from .quality import op3_quality
 from .sharding import op10_sharding
+from .tokencounts import op8_token_counts
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op3_quality": op3_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }

@@ -173,7 +173,7 @@ class CachedTokenizer:
         if not self.byte_level:
             text = text.replace("\n", " ")
             return (text if MARKS_MEET.search(text) else text.replace(".", " . ").replace(",", " , ")).split(" ")
-        if "\0" in text or BLANKS_MEET.search(text):
+        if "\0" in text or blanks_meet(text) or MARK_ALONE.search(text):
             return SAFE_CUT.split(text)
         return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
 
@@ -226,8 +226,20 @@ class CachedTokenizer:
         return [self.whole(text) if units is None else b"".join(map(get, units)) for text, units in held]
 
 
-MARKS_MEET = re.compile(r"[^\w\s][^\w\s]|_")
-BLANKS_MEET = re.compile(r"\s\s|[\W_][.,]|\s\Z")
+#: A full stop or comma that is not between Latin letters, digits and blanks (word BPE), or not
+#: after a letter or digit (byte-level).  The mark comes first: `re` runs through a text fastest then.
+LATIN = "A-Za-z0-9À-ÖØ-öø-ÿ"
+MARKS_MEET = re.compile(rf"[.,](?:(?![ \n{LATIN}]|\Z)|(?<![ \n{LATIN}].))")
+MARK_ALONE = re.compile(rf"[.,](?<![{LATIN}].)")
+#: White space other than space and line end.
+OTHER_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def blanks_meet(text: str) -> bool:
+    """Whether blanks stand side by side or last, or there are others than space and line end."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or any(c in text for c in OTHER_BLANKS)
+
+
 SAFE_CUT = regex.compile(r"(?= \S)", regex.V1)
 _LOADED: dict[str, CachedTokenizer] = {}
 
