@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .licenses import op1_licenses
 from .mixing import OP9_SQL, op9_mixing
+from .packing import op7_packing
 from .quality import op3_quality
 from .sharding import op10_sharding
 from .tokencounts import op8_token_counts
+from .tokenfiles import op2_token_files
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
