@@ -7,6 +7,7 @@ from .mixing import OP9_SQL, op9_mixing
 from .packing import op7_packing
 from .quality import op3_quality
 from .sharding import op10_sharding
+from .simhash import op6_simhash
 from .tokencounts import op8_token_counts
 from .tokenfiles import op2_token_files
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
