@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .htmltext import op4_html_text
 from .licenses import op1_licenses
 from .mixing import OP9_SQL, op9_mixing
+from .neighbours import op5_neighbours
 from .packing import op7_packing
 from .quality import op3_quality
 from .sharding import op10_sharding
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
+    "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
