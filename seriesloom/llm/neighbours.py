@@ -33,7 +33,7 @@ from .common import staged, table
 
 K, RECALL, TREES, DEPTH, SEED = 20, 0.9, 96, 32, 5
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
-STEP = 64
+STEP = 256
 
 
 def scores_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,74 +45,76 @@ def scores_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
+    """Sorted arrays of hash strings over the rows of one block."""
+
     def __init__(self, vectors: np.ndarray, largest_norm: float, trees: int, depth: int, seed: int):
-        self.vectors, self.trees, self.depth = vectors, trees, depth
+        self.vectors, self.trees, self.depth, self.largest = vectors, trees, depth, largest_norm
         self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1] + 1, depth))
-        self.largest = largest_norm
         extra = np.sqrt(np.maximum(0.0, largest_norm**2 - (vectors**2).sum(1)))
-        codes = [self.hashed(np.column_stack((vectors, extra)), t) for t in range(trees)]
-        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in codes]
-        self.codes = [c[o] for c, o in zip(codes, self.order, strict=True)]
+        codes = self.hashed(np.column_stack((vectors, extra)))
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.codes = np.take_along_axis(codes, self.order, 1)
 
-    def hashed(self, rows: np.ndarray, tree: int) -> np.ndarray:
-        """The bits of a tree as one number, first bit highest."""
-        bits = rows @ self.planes[tree] > 0
-        return (bits.astype(np.uint64) << np.arange(self.depth - 1, -1, -1, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    def hashed(self, rows: np.ndarray) -> np.ndarray:
+        """A row for each tree: the bits of all `rows` as numbers, first bit highest."""
+        weights = (1 << np.arange(self.depth - 1, -1, -1)).astype(np.float64)
+        return np.stack([((rows @ p > 0) @ weights).astype(np.int64) for p in self.planes])
 
     def stretches(self, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each (query, tree) the part of the sorted array that shares `level` bits."""
-        shift = np.uint64(self.depth - level)
-        low = codes >> shift << shift
-        high = low + (np.uint64(1) << shift)
-        ends = [(np.searchsorted(self.codes[t], low[:, t]), np.searchsorted(self.codes[t], high[:, t])) for t in range(self.trees)]
-        return np.stack([e[0] for e in ends], 1), np.stack([e[1] for e in ends], 1)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, scores) of the candidates of each query that can be among its k best; `own` is the
-        query's own row here, or -1."""
-        codes = np.stack([self.hashed(np.column_stack((queries, np.zeros(len(queries)))), t) for t in range(self.trees)], 1)
+        """For each (tree, query) the part of the sorted array that shares `level` bits."""
+        low = codes >> (self.depth - level) << (self.depth - level)
+        high = low + (1 << (self.depth - level))
+        pairs = [(np.searchsorted(own, a), np.searchsorted(own, b)) for own, a, b in zip(self.codes, low, high, strict=True)]
+        return np.stack([x for x, _ in pairs]), np.stack([x for _, x in pairs])
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of candidates, with the k best of each query and all that tie with
+        the last of them; `own` is the query's own row here, or -1."""
+        nq, n = len(queries), len(self.vectors)
+        codes = self.hashed(np.column_stack((queries, np.zeros(nq))))
         norms = np.sqrt((queries**2).sum(1)) * self.largest
-        seen = np.zeros((len(queries), len(self.vectors)), bool)
-        seen[own >= 0, own[own >= 0]] = True
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        active = np.arange(len(queries))
-        was = None
+        seen, tag = np.zeros(nq * n, bool), np.zeros(nq * n, np.int32)
+        seen[(np.arange(nq) * n + own)[own >= 0]] = True
+        asked, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kth = np.full(nq, -np.inf)
+        active, was = np.arange(nq), None
         for level in range(self.depth, -1, -1):
-            a, b = self.stretches(codes[active], level)
-            left = a, (was[0] if was else a)
-            right = (was[1] if was else a), b
-            going = []
-            for i, q in enumerate(active.tolist()):
-                new = []
-                for lo, hi in (left, right):
-                    for t in np.flatnonzero(hi[i] > lo[i]).tolist():
-                        new.append(self.order[t][lo[i, t] : hi[i, t]])
-                if new:
-                    fresh = np.zeros(len(self.vectors), bool)
-                    fresh[np.concatenate(new)] = True
-                    rows = np.flatnonzero(fresh & ~seen[q])
-                    if len(rows):
-                        seen[q, rows] = True
-                        score = scores_of(self.vectors[rows], np.broadcast_to(queries[q], (len(rows), queries.shape[1])))
-                        rows, score = np.append(best[q][0], rows), np.append(best[q][1], score)
-                        if len(rows) > k:  # keep all that tie with the k-th
-                            keep = score >= np.partition(score, -k)[-k]
-                            rows, score = rows[keep], score[keep]
-                        best[q] = rows, score
-                if self.missed(best[q][1], norms[q], k, level) > 1 - recall:
-                    going.append(i)
-            was = a[going], b[going]
+            lo, hi = self.stretches(codes[:, active], level)
+            sides = [(lo, hi)] if was is None else [(lo, was[0]), (was[1], hi)]
+            at = np.concatenate([self.places(x, y, active) for x, y in sides])
+            at = at[~seen[at]]
+            tag[at] = np.arange(len(at))
+            at = at[tag[at] == np.arange(len(at))]  # each once
+            seen[at] = True
+            new_asked, new_row = at // n, at % n
+            new = np.concatenate([np.einsum("ij,ij->i", self.vectors[new_row[i : i + 32_768]], queries[new_asked[i : i + 32_768]]) for i in range(0, len(at), 32_768)] or [np.zeros(0)])
+            fit = new >= kth[new_asked] - 1e-9
+            asked, row, score = (np.concatenate(x) for x in ((asked, new_asked[fit]), (row, new_row[fit]), (score, new[fit])))
+            order = np.lexsort((-score, asked))
+            asked, row, score = asked[order], row[order], score[order]
+            first = np.searchsorted(asked, np.arange(nq))
+            full = np.diff(np.append(first, len(asked))) >= k
+            kth[full] = score[first[full] + k - 1]
+            keep = score >= kth[asked] - 1e-9
+            asked, row, score = asked[keep], row[keep], score[keep]
+            near = np.arccos(np.clip(kth[active] / norms[active], -1, 1))
+            missed = (1 - (1 - near / math.pi) ** level) ** self.trees
+            going = (missed > 1 - recall) if level else np.zeros(len(active), bool)
+            was = lo[:, going], hi[:, going]
             active = active[going]
             if not len(active):
                 break
-        return best
+        return asked, row, scores_of(self.vectors[row], queries[asked])
 
-    def missed(self, score: np.ndarray, norm: float, k: int, level: int) -> float:
-        """How probably all trees miss a vector like the k-th found, at this level."""
-        if len(score) < k:
-            return 1.0 if level else 0.0
-        near = math.acos(min(1.0, max(-1.0, float(score.min()) / norm)))
-        return (1 - (1 - near / math.pi) ** level) ** self.trees
+    def places(self, lo: np.ndarray, hi: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """query * rows + row for all rows in the given stretches of (tree, query)."""
+        n = (hi - lo).ravel()
+        some = np.flatnonzero(n)
+        n = n[some]
+        tree, which = some // len(asked), some % len(asked)
+        begin = lo.ravel()[some] + tree * len(self.vectors)
+        spots = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(asked[which] * len(self.vectors), n) + self.order.ravel()[spots]
 
 
 def nearest(table_: DataFrame, every: int, k: int = K, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -138,13 +140,14 @@ def nearest(table_: DataFrame, every: int, k: int = K, recall: float = RECALL, t
             return pd.DataFrame({c: [] for c in columns})
         forest = Forest(np.stack(own["v"].to_numpy()), largest, trees, depth, seed)
         at = {r: i for i, r in enumerate(own["row"])}
-        ids, out = own["id"].astype("Int64").reset_index(drop=True), []
+        ids, out = own["id"].astype("Int64").to_numpy(dtype=object, na_value=None), []
         for a in range(0, len(asking), STEP):
-            some = asking.iloc[a : a + STEP]
+            some = asking.iloc[a : a + STEP].reset_index(drop=True)
             mine = np.array([at.get(r, -1) for r in some["row"]])
-            for (q, row), (rows_, score) in zip(some[["id", "row"]].itertuples(index=False), forest.search(np.stack(some["v"].to_numpy()), mine, k, recall), strict=True):
-                near = pd.DataFrame({"vec_id": ids.iloc[rows_].array, "score": score}).sort_values(["score", "vec_id"], ascending=[False, True], kind="stable").head(k)
-                out.append(near.assign(query_id=q, query_row=row)[columns])
+            asked, row, score = forest.search(np.stack(some["v"].to_numpy()), mine, k, recall)
+            found = pd.DataFrame({"query_id": some["id"].to_numpy()[asked], "query_row": some["row"].to_numpy()[asked], "vec_id": pd.array(ids[row], "Int64"), "score": score})
+            found = found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            out.append(found[found.groupby("query_row").cumcount() < k])
         return pd.concat(out)
 
     local = index.union(asks).groupBy("part", "grp").applyInPandas(searched, "query_id long, query_row long, vec_id long, score double")
