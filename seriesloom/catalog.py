@@ -1,6 +1,341 @@
-"""All named queries of the library and their DuckDB equivalents."""
+"""All named queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import eda, kinetics, metrics, models, ood, sequences, splits, trees, windows
+from .operators.lstm import Lstm
+from .oracle import ORACLE  # noqa: F401
+from .sources import runs
+from .streaming import replay
+
+ORDER = ["ts", "event_id"]
+SENSORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+VECTOR = [f"x{i}" for i in range(8)]
+
+
+def r6(column: str, alias: str | None = None):
+    return F.round(column, 6).alias(alias or column)
+
+
+def _rows(spark, d) -> DataFrame:
+    return eda.with_rows(runs.events(spark, d), ORDER)
+
+
+def _durations(spark, d) -> DataFrame:
+    return eda.run_durations(runs.events(spark, d), ORDER)
+
+
+def _windows(spark, d) -> DataFrame:
+    return windows.rolling(_rows(spark, d), ["value"])
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes))
+
+
+def run_duration(spark, d):
+    return _rounded(_durations(spark, d))
+
+
+def eda_summary(spark, d):
+    return _rounded(eda.summary(_durations(spark, d)))
+
+
+def class_balance(spark, d):
+    return _durations(spark, d).groupBy("accident_type").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_rows").alias("n_rows"))
+
+
+def accident_types(spark, d):
+    return eda.types(runs.events(spark, d))
+
+
+def rolling_features(spark, d):
+    return _rounded(_windows(spark, d))
+
+
+def rolling_features_grouped(spark, d):
+    return _rounded(windows.grouped(_rows(spark, d), ["value"]))
+
+
+def rolling_midpoint(spark, d):
+    return _rounded(_windows(spark, d).select(*eda.RUN, F.round(eda.midpoint(), 3).alias("midpoint_seconds"), "value_mean"))
+
+
+def multi_sensor_features(spark, d):
+    order = ["time_seconds", "l_orderkey", "l_linenumber", "l_partkey", *SENSORS]
+    return _rounded(windows.grouped(eda.with_rows(runs.lineitems(spark, d), order), SENSORS))
+
+
+def windows_per_type(spark, d):
+    return windows.per_type(_windows(spark, d), runs.events(spark, d).select("accident_type").distinct())
+
+
+def zero_window_types(spark, d):
+    """Windows as long as the longest run of a type leave the other types without any."""
+    size = 25
+    return windows.without(windows.rolling(_rows(spark, d), ["value"], size, 3), runs.events(spark, d).select("accident_type").distinct())
+
+
+def run_split(spark, d):
+    return splits.run_split(runs.events(spark, d))
+
+
+def single_run_types(spark, d):
+    e = runs.events(spark, d)
+    one = e.where((F.col("accident_type") != "view") | (F.col("severity_id") == "1"))
+    return splits.single_run_types(one)
+
+
+def routed_windows(spark, d):
+    e = _rows(spark, d).where((F.col("accident_type") != "view") | (F.col("severity_id") == "1"))
+    return splits.routed(windows.rolling(e, ["value"]), e).groupBy("accident_type", "split").agg(F.count(F.lit(1)).alias("n_windows"))
+
+
+def subsample_train(spark, d):
+    w = _windows(spark, d)
+    order = [*scalars.severity_order(F.col("severity_id")), "window_start_seconds"]
+    return splits.subsample(w, 100, order).select(*eda.RUN, r6("window_start_seconds"))
+
+
+def label_index(spark, d):
+    return eda.label_index(runs.events(spark, d))
+
+
+def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each reading with the class that a fixed rule on its value predicts, and the labels."""
+    e = runs.events(spark, d)
+    labels = eda.label_index(e)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    k = labels.withColumn("_k", n)
+    scored = e.join(F.broadcast(k), "accident_type").select(F.col("label_idx").alias("true_idx"), F.pmod(F.floor(F.col("value") / 10), F.col("_k")).cast("int").alias("pred_idx"))
+    return scored, labels
+
+
+def _matrix(spark, d):
+    scored, labels = _judged(spark, d)
+    return metrics.confusion(scored, labels), labels
+
+
+def confusion_matrix(spark, d):
+    return _matrix(spark, d)[0]
+
+
+def confusion_row_norm(spark, d):
+    return _rounded(metrics.row_shares(_matrix(spark, d)[0]))
+
+
+def per_class_metrics(spark, d):
+    return _rounded(metrics.per_class(*_matrix(spark, d)))
+
+
+def macro_f1(spark, d):
+    m, labels = _matrix(spark, d)
+    return _rounded(metrics.overall(m, metrics.per_class(m, labels)))
+
+
+def _sequences(spark, d):
+    return sequences.sequences(_rows(spark, d), ["value"], 10)
+
+
+def _long(seqs: DataFrame) -> DataFrame:
+    return seqs.select(*eda.RUN, F.posexplode("sequence").alias("step", "v")).select(*eda.RUN, "step", F.round(F.col("v")[0], 6).alias("value"))
+
+
+def fixed_length_sequences(spark, d):
+    return _long(_sequences(spark, d))
+
+
+def normalization_stats(spark, d):
+    return _rounded(sequences.normalization(_sequences(spark, d)))
+
+
+def zscored_sequences(spark, d):
+    s = _sequences(spark, d)
+    return _long(sequences.normalized(s, sequences.normalization(s)))
+
+
+def longest_run(spark, d):
+    return _rounded(eda.longest_run(_durations(spark, d)))
+
+
+def first_runs(spark, d):
+    return _rounded(eda.first_runs(_durations(spark, d), ["view", "click", "absent"]))
+
+
+def relative_power(spark, d):
+    return _rounded(eda.relative(_rows(spark, d), "value", until=127_500_000.0).select(*eda.RUN, "row_idx", "relative"))
+
+
+def downsample(spark, d):
+    return _rounded(eda.every(_rows(spark, d), 4).select(*eda.RUN, "row_idx", "value"))
+
+
+def ramp_reactivity(spark, d):
+    e = runs.events(spark, d)
+    return _rounded(e.select("event_id", scalars.ramp(F.col("value"), 10.0, 25.0, 0.003).alias("rho")))
+
+
+def histogram_bins(spark, d):
+    return eda.histogram(runs.events(spark, d), "value", 25.0)
+
+
+def axis_extents(spark, d):
+    return _rounded(eda.extents(runs.events(spark, d), "time_seconds", "value"))
+
+
+def heat_colors(spark, d):
+    return runs.events(spark, d).select("event_id", scalars.heat_color(F.col("value") / 100 - 0.1).alias("color"))
+
+
+def canonical_header(spark, d):
+    return runs.canonical_header(spark.read.parquet(f"{d}/events.parquet"), "props")
+
+
+def ecdf(spark, d):
+    return _rounded(eda.ecdf(runs.events(spark, d).where("accident_type = 'view'"), "value"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select("vec_id", F.col("label").cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(VECTOR)))
+
+
+def best_split_sse(spark, d):
+    v = _vectors(spark, d)
+    return _rounded(trees.best_split_sse(trees.long_form(v, VECTOR, F.col("label") % 2, F.col("label").cast("double")), 5))
+
+
+def best_split_gini(spark, d):
+    v = _vectors(spark, d)
+    return _rounded(trees.best_split_gini(trees.long_form(v, VECTOR, F.col("label") % 2, F.col("label")), 10, 5))
+
+
+def node_impurity(spark, d):
+    counted = _vectors(spark, d).groupBy((F.col("vec_id") % 7).alias("node")).agg(*(F.sum((F.col("label") == k).cast("long")).alias(f"c{k}") for k in range(10)), F.avg("label").alias("mean"))
+    return _rounded(counted.select("node", scalars.gini(F.array(*(f"c{k}" for k in range(10)))).alias("gini"), "mean"))
+
+
+def softmax_scores(spark, d):
+    v = _vectors(spark, d)
+    p = v.select("vec_id", F.array(*VECTOR).alias("s"), scalars.softmax(F.array(*VECTOR)).alias("p"))
+    return _rounded(p.select("vec_id", F.array_max("p").alias("max_probability"), scalars.argmax(F.col("s")).alias("pred_idx"), F.col("p")[0].alias("p0")))
+
+
+def _bayes_rows(spark, d):
+    values = F.array(*VECTOR)
+    return _vectors(spark, d).select(F.col("vec_id").alias("row_id"), "label", F.posexplode(values).alias("feature", "value"))
+
+
+def gaussian_nb_params(spark, d):
+    return _rounded(models.bayes_parameters(_bayes_rows(spark, d)))
+
+
+def gaussian_nb_predict(spark, d):
+    rows = _bayes_rows(spark, d)
+    return models.bayes_predict(rows, models.bayes_parameters(rows))
+
+
+def _train(spark, d, cap: int = 100):
+    """A class-capped sample for training, and all rows."""
+    v = _vectors(spark, d)
+    return splits.subsample(v, cap, ["vec_id"], "label"), v
+
+
+def cart_predict(spark, d):
+    train, every = _train(spark, d)
+    x, y = models.matrix(train, VECTOR, "label", ["vec_id"])
+    return every.select("vec_id", models.Cart.fit(x, y, 10).prediction(VECTOR).alias("pred_idx"))
+
+
+def boosting_predict(spark, d):
+    train, every = _train(spark, d)
+    x, y = models.matrix(train, VECTOR, "label", ["vec_id"])
+    model = models.Boosting.fit(spark, x, y, 10, rounds=3)
+    p = every.select("vec_id", model.probabilities(VECTOR).alias("p"))
+    return p.select("vec_id", scalars.argmax(F.col("p")).alias("pred_idx"), F.round(F.array_max("p"), 6).alias("max_probability"))
+
+
+def random_forest_predict(spark, d):
+    train, every = _train(spark, d)
+    model = models.forest(train, VECTOR, "label", depth=6)
+    return model.transform(every).select("vec_id", F.col("prediction").cast("int").alias("pred_idx"))
+
+
+def lstm_predict(spark, d):
+    e = _rows(spark, d)
+    labels = eda.label_index(e)
+    s = sequences.sequences(e, ["value"], 10).join(F.broadcast(labels), "accident_type")
+    z = sequences.normalized(s, sequences.normalization(s))
+    return Lstm.fit(z, 5, hidden=8, epochs=2).predict(z).select(*eda.RUN, "pred_idx")
+
+
+def permutation_importance(spark, d):
+    train, every = _train(spark, d)
+    x, y = models.matrix(train, VECTOR, "label", ["vec_id"])
+    return models.permutation_importance(every, VECTOR[:3], models.Cart.fit(x, y, 10, max_depth=4).prediction(VECTOR), "label", ["vec_id"])
+
+
+def _scores(spark, d):
+    """A score a row from the softmax, rows of labels 8 and 9 being out of distribution."""
+    v = _vectors(spark, d)
+    return v.select("vec_id", (F.col("label") >= 8).alias("is_ood"), F.round(F.array_max(scalars.softmax(F.array(*VECTOR))), 4).alias("score"))
+
+
+def ood_threshold(spark, d):
+    return ood.threshold(_scores(spark, d).where("not is_ood"))
+
+
+def ood_rates(spark, d):
+    s = _scores(spark, d)
+    return _rounded(ood.rates(s, ood.threshold(s.where("not is_ood"))))
+
+
+def auroc_rank(spark, d):
+    return _rounded(ood.auroc(_scores(spark, d)))
+
+
+def kinetics_sim(spark, d):
+    return _rounded(kinetics.simulations(_scenarios(spark, [0.0006, -0.0006, 0.003], 0.0)))
+
+
+def thermal_feedback(spark, d):
+    return _rounded(kinetics.simulations(_scenarios(spark, [0.0006], 1e-5), t_end=20.0))
+
+
+def _scenarios(spark, finals, feedback):
+    return spark.createDataFrame([(f"rho {f:+}", 10.0, 25.0, f, feedback) for f in finals], "scenario string, start double, end double, final double, feedback double")
+
+
+def stream_incremental_features(spark: SparkSession, d: str) -> DataFrame:
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seriesloom-')}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_577_836_800_000_000) / 1e6
+    readings = stream.select(F.col("event_type").alias("accident_type"), F.col("user_id").cast("string").alias("severity_id"), t.alias("time_seconds"), "event_id", "value")
+    return _rounded(replay.drained(replay.incremental(readings), f"{shared}/stream-{uuid.uuid4().hex}"))
+
+
+def _is_dir(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).isDirectory()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        run_duration, eda_summary, class_balance, accident_types, rolling_features, rolling_features_grouped, rolling_midpoint, multi_sensor_features,
+        windows_per_type, zero_window_types, run_split, single_run_types, routed_windows, subsample_train, label_index, confusion_matrix, confusion_row_norm,
+        per_class_metrics, macro_f1, fixed_length_sequences, normalization_stats, zscored_sequences, longest_run, first_runs, relative_power, downsample,
+        ramp_reactivity, histogram_bins, axis_extents, heat_colors, canonical_header, ecdf, best_split_sse, best_split_gini, node_impurity, softmax_scores,
+        gaussian_nb_params, gaussian_nb_predict, cart_predict, boosting_predict, random_forest_predict, lstm_predict, permutation_importance, ood_threshold,
+        ood_rates, auroc_rank, kinetics_sim, thermal_feedback, stream_incremental_features,
+    )
+}
