@@ -45,3 +45,8 @@ def text_of(column: str) -> Column:
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of `df` in one struct, so that names an operator adds can't clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns))

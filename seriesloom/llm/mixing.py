@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_of, word_count
+from .common import staged, table, text_of, whole_row, word_count
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, LIMIT = 1.5, 2
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
 def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: the rows of `docs` with all their columns, as often as `mix` takes them."""
     plan = mix_plan(_slim(docs, seed, id_col, text_col, source_col))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
     rows = _joined(keyed(packed, seed, "_id", "_text"), plan).withColumn("_times", times()).where("_times > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")
 

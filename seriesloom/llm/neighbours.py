@@ -15,7 +15,7 @@ its own forest, and a query's best from all blocks are merged.
 
 * Vectors that are null, zero, of other length than the shortest-id valid one, or that hold null or
   non-finite numbers take no part, as query or as candidate.
-* Ties go to the smaller id (null last).  Repeated rows are rows of their own; a row is never its own
+* Ties go to the smaller id (null last; 2 ** 63 - 1 stands for null on the way).  Repeated rows are rows of their own; a row is never its own
   neighbour.  Fewer candidates than k: all of them; no valid query: no rows; other columns are left out.
 """
 
@@ -34,6 +34,7 @@ from .common import staged, table
 K, RECALL, TREES, DEPTH, SEED = 20, 0.9, 96, 32, 5
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
 STEP = 256
+NO_ID = (1 << 63) - 1
 
 
 def scores_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def nearest(table_: DataFrame, every: int, k: int = K, recall: float = RECALL, t
     largest = found["norm"] or 1.0
     parts, groups = max(1, -(-found["n"] // INDEX_BLOCK)), max(1, -(-found["q"] // QUERY_BLOCK))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(n)).cast("int")
-    index = rows.select("id", "v", "row", deal(parts, 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"))
+    index = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "v", "row", deal(parts, 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"))
     asks = rows.where(F.col("id") % every == 0).select("id", "v", "row", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), deal(groups, 2).alias("grp"), F.lit(True).alias("asks"))
 
     def searched(part: pd.DataFrame) -> pd.DataFrame:
@@ -140,19 +141,19 @@ def nearest(table_: DataFrame, every: int, k: int = K, recall: float = RECALL, t
             return pd.DataFrame({c: [] for c in columns})
         forest = Forest(np.stack(own["v"].to_numpy()), largest, trees, depth, seed)
         at = {r: i for i, r in enumerate(own["row"])}
-        ids, out = own["id"].astype("Int64").to_numpy(dtype=object, na_value=None), []
+        ids, out = own["id"].to_numpy(np.int64), []
         for a in range(0, len(asking), STEP):
             some = asking.iloc[a : a + STEP].reset_index(drop=True)
             mine = np.array([at.get(r, -1) for r in some["row"]])
             asked, row, score = forest.search(np.stack(some["v"].to_numpy()), mine, k, recall)
-            found = pd.DataFrame({"query_id": some["id"].to_numpy()[asked], "query_row": some["row"].to_numpy()[asked], "vec_id": pd.array(ids[row], "Int64"), "score": score})
+            found = pd.DataFrame({"query_id": some["id"].to_numpy()[asked], "query_row": some["row"].to_numpy()[asked], "vec_id": ids[row], "score": score})
             found = found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True], kind="stable")
             out.append(found[found.groupby("query_row").cumcount() < k])
         return pd.concat(out)
 
     local = index.union(asks).groupBy("part", "grp").applyInPandas(searched, "query_id long, query_row long, vec_id long, score double")
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

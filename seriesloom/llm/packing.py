@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .tokenfiles import _nullable
 from .tokens import cached
 
 MODEL = "word_bpe_49k.json"
 END_ID = 0
 LENGTH = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 class CapacityTree:
@@ -107,21 +105,23 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = LENGTH) -> np.nd
 def pieces(docs: DataFrame, model: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """The pieces of each document; `nth` numbers those of one length and task."""
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<start: bigint, length: bigint, ids_crc32: bigint, part: int, nth: bigint>>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         end, part_no, seen = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
-        for part in _nullable(parts):
-            rows = []
-            for doc_id, ids in zip(part["doc_id"], cached(model).encode(part["text"].tolist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * length)):
-                    own = ids[at : at + 4 * length]
-                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), part_no, seen[len(own)]))
-                    seen[len(own)] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, PIECES)
+
+        def of(ids: bytes) -> list[dict]:
+            out = []
+            for at in range(0, len(ids), 4 * length):
+                own = ids[at : at + 4 * length]
+                out.append({"start": at // 4, "length": len(own) // 4, "ids_crc32": zlib.crc32(own), "part": part_no, "nth": seen[len(own)]})
+                seen[len(own)] += 1
+            return out
+
+        for texts in parts:
+            yield pd.Series([of(ids + end) for ids in cached(model).encode(texts.tolist())])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), cut(F.col(text_col)).alias("pieces"))
+    return rows.select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", "p.*")
 
 
 def pack(docs: DataFrame, model: str = MODEL, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, table, whole_row
 
 SHINGLE, BITS, SEED = 4, 4, 42
 PAIRS_AT_ONCE = 1 << 20
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, one of each class: the one of least id (null last)."""
-    kept = staged(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), fingerprinted(F.col(text_col), shingle, seed).alias("print")), "dedup")
+    kept = staged(docs.select(F.monotonically_increasing_id().alias("_at"), whole_row(docs).alias("_row"), F.col(id_col).alias("_id"), fingerprinted(F.col(text_col), shingle, seed).alias("print")), "dedup")
     roots = print_classes(kept, bits)
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("best")
     by_print = kept.select("_id", "_at", "print").groupBy("print").agg(best).join(roots, "print", "left")

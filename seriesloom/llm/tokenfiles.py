@@ -34,7 +34,7 @@ from .tokens import cached
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 FRAME = 1 << 19
-FRAMES = "part int, frame int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
+FRAMES = "part int, frame int, first long, n_tokens long, doc_ids array<long>, no_id array<boolean>, lengths array<long>, data binary"
 
 
 def _pack(ids: bytes, width: str) -> bytes:
@@ -48,20 +48,14 @@ def _unpack(data: bytes, n: int, width: str) -> np.ndarray:
 def tokenized(docs: DataFrame, model: str, end_id: int, width: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_tokens and the packed ids of each document, end id included."""
 
-    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids binary")
+    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], "<u4").tobytes()
-        for part in parts:
-            # a few megabytes of text at a time, so that long texts don't pile up
-            ids = [x + end for x in cached(model).encode(part["text"].tolist())]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": [_pack(x, width) for x in ids]})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(lambda parts: encoded(_nullable(parts)), "doc_id long, n_tokens long, ids binary")
-
+        for texts in parts:
+            ids = [x + end for x in cached(model).encode(texts.tolist())]
+            yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": [_pack(x, width) for x in ids]})
 
-def _nullable(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        yield part.assign(doc_id=part["doc_id"].astype("Int64"), text=part["text"].where(part["text"].notna(), None))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), encoded(F.col(text_col)).alias("t")).select("doc_id", "t.*")
 
 
 def id_counts(tokens: DataFrame, width: str) -> np.ndarray:
@@ -97,14 +91,14 @@ def write_tokens(docs: DataFrame, path: str, model: str = MODEL, end_id: int = E
         table_, part_no, first, frame = rans.Table.from_bytes(shared), TaskContext.get().partitionId(), 0, 0
 
         def sealed(held: list) -> pd.DataFrame:
-            ids = np.concatenate([x for _, x in held])
-            row = (part_no, frame, first, len(ids), [i for i, _ in held], [len(x) for _, x in held], rans.encode(ids, table_))
-            return pd.DataFrame([row], columns=["part", "frame", "first", "n_tokens", "doc_ids", "lengths", "data"])
+            ids = np.concatenate([x for _, _, x in held])
+            row = (part_no, frame, first, len(ids), [i for i, _, _ in held], [x for _, x, _ in held], [len(x) for _, _, x in held], rans.encode(ids, table_))
+            return pd.DataFrame([row], columns=[c.split(" ")[0] for c in FRAMES.split(", ")])
 
         held, size = [], 0
         for part in parts:
-            for i, n, data in zip(part["doc_id"].astype("Int64"), part["n_tokens"], part["ids"], strict=True):
-                held.append((None if i is pd.NA else int(i), _unpack(data, n, width)))
+            for i, none, n, data in zip(part["id"], part["none"], part["n_tokens"], part["ids"], strict=True):
+                held.append((i, none, _unpack(data, n, width)))
                 size += n
                 if size >= FRAME:
                     yield sealed(held)
@@ -114,7 +108,8 @@ def write_tokens(docs: DataFrame, path: str, model: str = MODEL, end_id: int = E
 
     # at = a hash of the tokens parts documents of one id, so that a hot id is split too
     ordered = tokens.withColumn("at", F.xxhash64("ids")).repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
-    ordered.select("doc_id", "n_tokens", "ids").mapInPandas(framed, FRAMES).write.option("compression", "none").parquet(f"{path}/frames")
+    ids = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    ordered.select(*ids, "n_tokens", "ids").mapInPandas(framed, FRAMES).write.option("compression", "none").parquet(f"{path}/frames")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -123,7 +118,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     shared = bytes(spark.read.parquet(f"{path}/table").first()["freq"])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = frames.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "id long, none boolean, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table_ = rans.Table.from_bytes(shared)
@@ -132,10 +127,12 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 ids = rans.decode(r.data, table_)
                 ends = np.cumsum(r.lengths)
                 cuts = list(zip((ends - r.lengths).tolist(), ends.tolist(), strict=True))
-                out = {"doc_id": pd.array([None if i is None or i != i else int(i) for i in r.doc_ids], "Int64"), "start": r.base + r.first + ends - r.lengths, "n_tokens": r.lengths, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in cuts]}
+                out = {"id": r.doc_ids, "none": r.no_id, "start": r.base + r.first + ends - r.lengths, "n_tokens": r.lengths, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in cuts]}
                 yield pd.DataFrame(out | ({"ids": [ids[a:b] for a, b in cuts]} if with_ids else {}))
 
-    return frames.join(offsets, "part").select("base", "first", "doc_ids", "lengths", "data").mapInPandas(decoded, schema)
+    return frames.join(offsets, "part").select("base", "first", "doc_ids", "no_id", "lengths", "data").mapInPandas(decoded, schema).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "start", "n_tokens", "ids_crc32", *["ids"] * with_ids
+    )
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
