@@ -1,4 +1,6 @@
-"""DuckDB SQL for the queries in `catalog`, over the same Parquet tables."""
+"""DuckDB SQL for the queries in `catalog`, over the same Parquet tables.
+
+Adding 0 turns the negative zeros that DuckDB's round leaves into zeros, as Spark's gives."""
 
 from __future__ import annotations
 
@@ -67,9 +69,9 @@ ORACLE = {
     "eda_summary": f"WITH {DURATION} SELECT accident_type, count(*) AS sample_count, round(min(duration_seconds), 6) AS min_duration_seconds, round(avg(duration_seconds), 6) AS mean_duration_seconds, round(max(duration_seconds), 6) AS max_duration_seconds FROM d GROUP BY 1",
     "class_balance": "SELECT event_type AS accident_type, count(DISTINCT user_id) AS n_runs, count(*) AS n_rows FROM events GROUP BY 1",
     "accident_types": "SELECT DISTINCT event_type AS accident_type FROM events",
-    "rolling_features": f"WITH {WINDOWS} SELECT accident_type, severity_id, round(window_start_seconds, 6) AS window_start_seconds, round(window_end_seconds, 6) AS window_end_seconds, round(value_mean, 6) AS value_mean, round(value_std, 6) AS value_std, round(value_slope, 6) AS value_slope FROM w",
+    "rolling_features": f"WITH {WINDOWS} SELECT accident_type, severity_id, round(window_start_seconds, 6) AS window_start_seconds, round(window_end_seconds, 6) AS window_end_seconds, round(value_mean, 6) AS value_mean, round(value_std, 6) AS value_std, round(value_slope, 6) + 0::DOUBLE AS value_slope FROM w",
     "rolling_midpoint": f"WITH {WINDOWS} SELECT accident_type, severity_id, round((window_start_seconds + window_end_seconds) / 2, 3) AS midpoint_seconds, round(value_mean, 6) AS value_mean FROM w",
-    "multi_sensor_features": "WITH a AS (SELECT *, l_returnflag AS accident_type, l_suppkey::VARCHAR AS severity_id, (epoch_us(l_shipdate) - 1577836800000000) / 1e6 AS time_seconds FROM lineitem), r AS (SELECT *, (row_number() OVER o - 1)::INTEGER AS row_idx, count(*) OVER (PARTITION BY accident_type, severity_id) AS n_rows FROM a WINDOW o AS (PARTITION BY accident_type, severity_id ORDER BY time_seconds, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax)), z AS (SELECT accident_type, severity_id, row_idx, n_rows, time_seconds AS window_start_seconds, last(time_seconds) " + _over + " AS window_end_seconds, " + ", ".join(f"avg({s}) {_over} AS {s}_mean, stddev_pop({s}) {_over} AS {s}_std, coalesce(regr_slope({s}, time_seconds) {_over}, 0) AS {s}_slope" for s in MULTI) + " FROM r) SELECT accident_type, severity_id, round(window_start_seconds, 6) AS window_start_seconds, round(window_end_seconds, 6) AS window_end_seconds, " + ", ".join(f"round({s}_{k}, 6) AS {s}_{k}" for s in MULTI for k in ("mean", "std", "slope")) + " FROM z WHERE row_idx % 3 = 0 AND row_idx + 5 <= n_rows",
+    "multi_sensor_features": "WITH a AS (SELECT *, l_returnflag AS accident_type, l_suppkey::VARCHAR AS severity_id, (epoch_us(l_shipdate) - 1577836800000000) / 1e6 AS time_seconds FROM lineitem), r AS (SELECT *, (row_number() OVER o - 1)::INTEGER AS row_idx, count(*) OVER (PARTITION BY accident_type, severity_id) AS n_rows FROM a WINDOW o AS (PARTITION BY accident_type, severity_id ORDER BY time_seconds, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax)), z AS (SELECT accident_type, severity_id, row_idx, n_rows, time_seconds AS window_start_seconds, last(time_seconds) " + _over + " AS window_end_seconds, " + ", ".join(f"avg({s}) {_over} AS {s}_mean, stddev_pop({s}) {_over} AS {s}_std, coalesce(regr_slope({s}, time_seconds) {_over}, 0) AS {s}_slope" for s in MULTI) + " FROM r) SELECT accident_type, severity_id, round(window_start_seconds, 6) AS window_start_seconds, round(window_end_seconds, 6) AS window_end_seconds, " + ", ".join(f"round({s}_{k}, 6) + 0::DOUBLE AS {s}_{k}" for s in MULTI for k in ("mean", "std", "slope")) + " FROM z WHERE row_idx % 3 = 0 AND row_idx + 5 <= n_rows",
     "windows_per_type": f"WITH {WINDOWS} SELECT t.accident_type, count(w.accident_type) AS n_windows FROM (SELECT DISTINCT accident_type FROM r) t LEFT JOIN w USING (accident_type) GROUP BY 1",
     "zero_window_types": f"WITH {READ + _win(25)} SELECT DISTINCT accident_type FROM r WHERE accident_type NOT IN (SELECT accident_type FROM w)",
     "run_split": f"WITH {READ + SPLIT % 'r'} SELECT accident_type, severity_id, split FROM sp",
@@ -83,7 +85,7 @@ ORACLE = {
     "macro_f1": f"WITH {CLASSES} SELECT round((SELECT sum(n) FILTER (true_idx = pred_idx) / sum(n) FROM m), 6)::DOUBLE AS accuracy, round((SELECT avg(f1) FROM c WHERE support > 0), 6) AS macro_f1",
     "fixed_length_sequences": f"WITH {SEQ} SELECT accident_type, severity_id, step, round(value, 6) AS value FROM q",
     "normalization_stats": f"WITH {SEQ} SELECT 0 AS sensor, round(avg(value), 6) AS mean, round(greatest(stddev_pop(value), 1e-8), 6) AS std FROM q",
-    "zscored_sequences": f"WITH {SEQ} SELECT accident_type, severity_id, step, round((value - (SELECT avg(value) FROM q)) / (SELECT greatest(stddev_pop(value), 1e-8) FROM q), 6) AS value FROM q",
+    "zscored_sequences": f"WITH {SEQ} SELECT accident_type, severity_id, step, round((value - (SELECT avg(value) FROM q)) / (SELECT greatest(stddev_pop(value), 1e-8) FROM q), 6) + 0::DOUBLE AS value FROM q",
     "longest_run": f"WITH {DURATION} SELECT accident_type, severity_id, n_rows, round(duration_seconds, 6) AS duration_seconds FROM (SELECT *, row_number() OVER (PARTITION BY accident_type ORDER BY duration_seconds DESC, {SEVERITY}) AS i FROM d) WHERE i = 1",
     "first_runs": f"WITH {DURATION} SELECT accident_type, severity_id, n_rows, round(duration_seconds, 6) AS duration_seconds FROM (SELECT *, row_number() OVER (PARTITION BY accident_type ORDER BY {SEVERITY}) AS i FROM d WHERE accident_type IN ('view', 'click', 'absent')) WHERE i = 1",
     "relative_power": f"WITH {READ}, o AS (SELECT *, first(value) OVER (PARTITION BY accident_type, severity_id ORDER BY row_idx) AS v0 FROM r) SELECT accident_type, severity_id, row_idx, round(value / nullif(v0, 0), 6) AS relative FROM o WHERE time_seconds <= 127500000",
@@ -98,7 +100,7 @@ ORACLE = {
     "best_split_gini": f"WITH {LONG}, {GINI} {BEST}",
     "node_impurity": f"WITH {VECTORS}, c AS (SELECT vec_id % 7 AS node, label, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT vec_id % 7 AS node, avg(label) AS mean, count(*) AS total FROM v GROUP BY ALL) SELECT node, round(1 - sum((n / total) * (n / total)), 6) AS gini, round(any_value(mean), 6) AS mean FROM c JOIN t USING (node) GROUP BY node",
     "softmax_scores": f"WITH {SOFTMAX} SELECT vec_id, round(1 / z, 6) AS max_probability, (list_position([x0,x1,x2,x3,x4,x5,x6,x7], top) - 1)::INTEGER AS pred_idx, round(e0 / z, 6) AS p0 FROM s",
-    "gaussian_nb_params": f"WITH {BAYES} SELECT label, feature::INTEGER AS feature, round(prior, 6) AS prior, round(mean, 6) AS mean, round(var, 6) AS var FROM p",
+    "gaussian_nb_params": f"WITH {BAYES} SELECT label, feature::INTEGER AS feature, round(prior, 6) AS prior, round(mean, 6) + 0::DOUBLE AS mean, round(var, 6) AS var FROM p",
     "gaussian_nb_predict": f"WITH {BAYES}, s AS (SELECT vec_id, p.label, round(sum(-0.5 * ln(2 * pi() * var) - (value - mean) * (value - mean) / (2 * var)) + ln(any_value(prior)), 6) AS ll FROM f JOIN p ON f.feature = p.feature GROUP BY ALL) SELECT vec_id AS row_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, label) AS i FROM s) WHERE i = 1",
     "ood_threshold": f"WITH {SCORES} SELECT {THRESHOLD} AS threshold",
     "ood_rates": f"WITH {SCORES} SELECT round({THRESHOLD}, 6) AS threshold, round(avg((score < {THRESHOLD})::INTEGER) FILTER (NOT is_ood), 6) AS false_alarm_rate, round(avg((score < {THRESHOLD})::INTEGER) FILTER (is_ood), 6) AS ood_detection_rate FROM sc",
