@@ -35,6 +35,9 @@ def test_small_cache_changes_nothing(monkeypatch, texts):
     from seriesloom.llm import tokens
 
     monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(tokens, "PART", 2000)
+    monkeypatch.setattr(tokens.WordTable, "MOST", 100)
+    monkeypatch.setattr(tokens.WordTable, "SLOTS", 64)
     k = tokens.CachedTokenizer("word_bpe_49k.json")
     some = list(texts.values())[:20]
     assert k.encode(some) == cached("word_bpe_49k.json").encode(some)
