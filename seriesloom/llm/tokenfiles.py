@@ -130,7 +130,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 out = {"id": r.doc_ids, "none": r.no_id, "start": r.base + r.first + ends - r.lengths, "n_tokens": r.lengths, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in cuts]}
                 yield pd.DataFrame(out | ({"ids": [ids[a:b] for a, b in cuts]} if with_ids else {}))
 
-    return frames.join(offsets, "part").select("base", "first", "doc_ids", "no_id", "lengths", "data").mapInPandas(decoded, schema).select(
+    # a row for each file part, a few bytes each: frames stay where they are
+    return frames.join(F.broadcast(offsets), "part").select("base", "first", "doc_ids", "no_id", "lengths", "data").mapInPandas(decoded, schema).select(
         F.when(~F.col("none"), F.col("id")).alias("doc_id"), "start", "n_tokens", "ids_crc32", *["ids"] * with_ids
     )
 
