@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import severity_order
+
 RUN = ["accident_type", "severity_id"]
 
 
@@ -60,19 +62,19 @@ def extents(series: DataFrame, x: str, y: str, headroom: float = 0.1, pad: float
 
 
 def longest_run(durations: DataFrame) -> DataFrame:
-    """The longest run of each type, the first by severity on ties."""
-    from ..functions.scalars import severity_order
-
-    w = Window.partitionBy("accident_type").orderBy(F.col("duration_seconds").desc_nulls_last(), *severity_order(F.col("severity_id")))
-    return durations.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    """The longest run of each type that has a duration, the first by severity on ties."""
+    return _first(durations.where(F.col("duration_seconds").isNotNull()), [-F.col("duration_seconds"), *severity_order(F.col("severity_id"))])
 
 
 def first_runs(durations: DataFrame, wanted: list[str]) -> DataFrame:
     """The first run by severity of each wanted type that has one."""
-    from ..functions.scalars import severity_order
+    return _first(durations.where(F.col("accident_type").isin(wanted)), severity_order(F.col("severity_id")))
+
 
-    w = Window.partitionBy("accident_type").orderBy(*severity_order(F.col("severity_id")))
-    return durations.where(F.col("accident_type").isin(wanted)).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+def _first(rows: DataFrame, order: list) -> DataFrame:
+    """The least row of each type by `order`; an aggregate, so a frequent type is no one task's work."""
+    keys = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(order)))
+    return rows.groupBy("accident_type").agg(F.min_by(F.struct(*rows.columns), keys).alias("_r")).select("_r.*")
 
 
 def relative(rows: DataFrame, value: str, until: float | None = None) -> DataFrame:
@@ -91,12 +93,13 @@ def every(rows: DataFrame, stride: int, index: str = "row_idx") -> DataFrame:
 
 
 def ecdf(scores: DataFrame, column: str) -> DataFrame:
-    """Each score with the share of scores before it, from 0 to (n - 1) / n.
+    """Each score with the share of scores before it, from 0 to (n - 1) / n."""
+    from .ranks import running
 
-    Ranks are global: one sorted sequence, on one row a score."""
-    w = Window.orderBy(column)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return scores.select(column, ((F.row_number().over(w) - 1) / n).alias("fraction"))
+    counted = running(scores.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), column, "_n", "_below")
+    total = scores.agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
+    each = counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return each.select(column, ((F.col("_below") + F.col("_k")) / F.col("_all")).alias("fraction"))
 
 
 def midpoint(start: str = "window_start_seconds", end: str = "window_end_seconds") -> Column:

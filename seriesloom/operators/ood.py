@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def threshold(known: DataFrame, score: str = "score", share: float = 0.05) -> DataFrame:
     """The score at place floor(share * n) of the ascending known scores; no interpolation."""
-    ranked = known.select(score, F.row_number().over(Window.orderBy(score)).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-    return ranked.where(F.col("_r") - 1 == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(F.col(score).alias("threshold"))
+    counted = running(known.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), score, "_n", "_below")
+    total = known.agg(F.count(F.lit(1)).alias("_all"))
+    at = F.least(F.floor(F.col("_all") * share), F.col("_all") - 1)
+    found = counted.join(F.broadcast(total), (F.col("_below") <= at) & (at < F.col("_below") + F.col("_n")))
+    return found.select(F.col(score).alias("threshold"))
 
 
 def rates(scores: DataFrame, limit: DataFrame, score: str = "score") -> DataFrame:
@@ -27,6 +32,8 @@ def auroc(scores: DataFrame, score: str = "score") -> DataFrame:
     """P(ood < known) + P(equal) / 2 over all pairs, from sorted counts: each distinct score adds its
     OOD rows times the known rows above it and half those beside it."""
     by_score = scores.groupBy(score).agg(F.sum(F.col("is_ood").cast("long")).alias("o"), F.sum((~F.col("is_ood")).cast("long")).alias("k"))
-    above = F.coalesce(F.sum("k").over(Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_score.withColumn("w", F.col("o") * (above + F.col("k") / 2))
+    below = running(by_score, score, "k")
+    above = F.col("known") - F.col("before") - F.col("k")
+    known = by_score.agg(F.sum("k").alias("known"), F.lit(1).alias("_one"))
+    wins = below.withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one").withColumn("w", F.col("o") * (above + F.col("k") / 2))
     return wins.agg((F.sum("w") / (F.sum("o") * F.sum("k"))).alias("auroc"))

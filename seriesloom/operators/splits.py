@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import severity_order
 from .eda import RUN
+from .ranks import numbered
 
 
 def step_of(test_fraction: float) -> int:
@@ -39,11 +40,15 @@ def routed(windows: DataFrame, runs: DataFrame, test_fraction: float = 0.2) -> D
 
 
 def subsample(items: DataFrame, most: int, order: list, label: str = "accident_type") -> DataFrame:
-    """At most `most` items of each label, evenly spaced in `order`, first and last included."""
-    w = Window.partitionBy(label)
-    ranked = items.withColumn("_k", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(w))
+    """At most `most` items of each label, evenly spaced in `order`, first and last included.
+
+    Items are numbered over all labels at once, so a frequent label is sorted by many tasks; items
+    that are equal in `order` keep any order among themselves."""
+    ranked = numbered(items, [F.col(label), *order], "_no")
+    sizes = ranked.groupBy(F.col(label).alias("_label")).agg(F.min("_no").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_k", F.col("_no") - F.col("_least"))
     gap = max(most - 1, 1)
     # kept: k = floor(i * (n - 1) / (most - 1)) for an i below most
     i = F.floor((F.col("_k") * gap + F.col("_n") - 2) / F.greatest(F.col("_n") - 1, F.lit(1)))
     hit = (i < most) & (F.floor(i * (F.col("_n") - 1) / gap) == F.col("_k"))
-    return ranked.where((F.col("_n") <= most) | hit).drop("_k", "_n")
+    return ranked.where((F.col("_n") <= most) | hit).drop("_k", "_n", "_no", "_least", "_label")
