@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: tables, and files in the cluster's shared folder."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, staged  # noqa: F401
+
 #: White space that parts words, and a word, as the contracts give them.
 BLANKS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,26 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset, as in tests on one machine, a folder of this machine is put there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='seriesloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read from there, so that later steps neither
-    repeat its work nor depend on an executor that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -46,7 +25,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-
 def whole_row(df: DataFrame) -> Column:
     """All columns of `df` in one struct, so that names an operator adds can't clash with them."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns))

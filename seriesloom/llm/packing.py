@@ -120,7 +120,8 @@ def pieces(docs: DataFrame, model: str, length: int, end_id: int, id_col: str, t
         for texts in parts:
             yield pd.Series([of(ids + end) for ids in cached(model).encode(texts.tolist())])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), cut(F.col(text_col)).alias("pieces"))
+    # said to be non-deterministic, else Spark runs it twice: for the rows and to filter empty lists
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), cut.asNondeterministic()(F.col(text_col)).alias("pieces"))
     return rows.select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", "p.*")
 
 

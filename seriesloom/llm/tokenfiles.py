@@ -55,7 +55,7 @@ def tokenized(docs: DataFrame, model: str, end_id: int, width: str, id_col: str,
             ids = [x + end for x in cached(model).encode(texts.tolist())]
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": [_pack(x, width) for x in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), encoded(F.col(text_col)).alias("t")).select("doc_id", "t.*")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), encoded.asNondeterministic()(F.col(text_col)).alias("t")).select("doc_id", "t.*")
 
 
 def id_counts(tokens: DataFrame, width: str) -> np.ndarray:
