@@ -85,3 +85,15 @@ def test_charts():
     assert charts.heatmap("m", ["a", "b"], [[1, 1], [0, 0]]).count('fill="#ffffff"') == 2
     assert charts.histogram_chart("h", [], 1.0) == ""
     assert "acc" in results.table_text([{"acc": 0.5}])
+
+
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    from seriesloom import shared
+
+    kept = shared.staged(spark.range(3), "t")
+    folder = shared.own_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    shared.clear(spark)
+    assert not os.path.exists(folder)
