@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 K, RECALL, TREES, DEPTH, SEED = 20, 0.9, 96, 32, 5
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 65_536
 STEP = 256
 NO_ID = (1 << 63) - 1
 
