@@ -39,21 +39,32 @@ PAIRS_AT_ONCE = 1 << 20
 SMALL = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a whole text as an unsigned 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """The hash of each run of `shingle` words in their order, repeats included."""
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
     starts, k = [0, *ends], min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes set."""
     sums = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         sums += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a whole text as an unsigned 64-bit integer."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, shingle, seed)) if words else 0
+
+
 def fingerprinted(text: Column, shingle: int, seed: int) -> Column:
     """The fingerprint as a BIGINT of the same bits."""
 
