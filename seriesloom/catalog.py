@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from .functions import scalars
 from .operators import eda, kinetics, metrics, models, ood, sequences, splits, trees, windows
 from .operators.lstm import Lstm
 from .oracle import ORACLE  # noqa: F401
-from .shared import shared_dir
+from .shared import own_path
 from .sources import runs
 from .streaming import replay
 
@@ -318,7 +316,7 @@ def stream_incremental_features(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_577_836_800_000_000) / 1e6
     readings = stream.select(F.col("event_type").alias("accident_type"), F.col("user_id").cast("string").alias("severity_id"), t.alias("time_seconds"), "event_id", "value")
-    return _rounded(replay.drained(replay.incremental(readings), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"))
+    return _rounded(replay.drained(replay.incremental(readings), own_path(spark, "stream")))
 
 
 def _is_dir(spark, path: str) -> bool:

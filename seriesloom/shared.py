@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,30 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder
-    of this machine is put there."""
+    """The folder in spark.checkpoint.dir.  Where it is unset and all of Spark is one process, as in tests,
+    a folder of this machine is put there, deleted when Python ends; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='seriesloom-')}"
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
+        own = tempfile.mkdtemp(prefix="seriesloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; all that is written there for later steps is below it."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def own_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A new path below `own_dir`, or below a `folder` that came from here."""
+    return f"{folder or own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """`df` written once to the shared folder and read from there, so that later steps neither repeat
     its work nor depend on an executor that made it."""
     spark = df.sparkSession
-    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path that came from `own_path`, once nothing still to be computed reads it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what this application staged; call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all that this application put below `own_dir`; call it when no result is read any more."""
+    delete(spark, own_dir(spark))
