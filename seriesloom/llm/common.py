@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, staged  # noqa: F401
+from ..shared import staged  # noqa: F401
 
 #: White space that parts words, and a word, as the contracts give them.
 BLANKS = r"[\x20\x09-\x0D]"

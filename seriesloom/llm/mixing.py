@@ -7,16 +7,19 @@ That ends where target = min(2 * words, level * weight) for one level, which sor
 Selection: a document's key is -ln(u) / w for a uniform u that its id and text fix and a quality
 weight w; the smallest keys of a source are an Efraimidis-Spirakis sample.  A source gives its
 complete epochs first; the remaining budget goes to the documents with the smallest keys whose
-sizes, summed in key order, fit in it.  What then still is free goes, once more in key order, to
-further documents that fit there.  Documents are never cut.
+sizes, summed in key order, fit in it.  What then still is free goes in two further passes, once more
+in key order, to documents that fit there.  Documents are never cut.
 
-Sums run over 4096 ranges of the key for each source; rows are only sorted in the one range of a
+Sums run over ranges of the key's logarithm for each source; keys are only sorted in the one range of a
 source where its budget ends, so a source that holds most rows is not one task's work.
 
 * null text: size 0; null source: a source of its own, last; null id: allowed.
-* Rows equal in id and text have equal keys and are taken together.
-* A source without words has target 0.  Empty table: no rows.  Other columns are kept by `mixed`
-  and left out by `mix`.
+* Ties and repeated rows: rows equal in id and text have equal keys and sizes.  Where the budget ends
+  among them as many are taken as fit, whichever they are; they are numbered by many tasks.
+* Very long texts: sizes are sums of BIGINT; a document that is larger than what is free isn't taken.
+* A source without words has target 0.  Empty table: no rows.  Other columns are kept by `mixed`,
+  whatever their names, and left out by `mix`.
+* One row for each source goes through one task, which suits sources, not keys of documents.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from .common import staged, table, text_of, whole_row, word_count
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, LIMIT = 1.5, 2
-RANGES = 4096
+#: Ranges for each factor e between keys, and all of them; passes over what is free.
+FINENESS, RANGES, PASSES = 1024, 65_536, 3
 SEED = 17
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -68,30 +73,43 @@ def targets(slim: DataFrame) -> DataFrame:
 
 
 def _range(key: Column) -> Column:
-    return F.least(F.floor(key / (key + 1) * RANGES), F.lit(RANGES - 1)).cast("int")
+    return F.greatest(F.least(F.floor((F.ln(key) + 40) * FINENESS), F.lit(RANGES - 1)), F.lit(0)).cast("int")
 
 
 def _fitting(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
-    """For each source of `budgets` (_source, _budget): _range{n} and _cut{n}; a row of `rows` fits
-    if its range is lower, or the same and its key not above the cut; and _left{n}, what is free then."""
+    """For each source of `budgets` (_source, _budget): _range{n}, _cut{n} and _take{n}.  A row of `rows`
+    fits if its range is lower, or the same and its key lower than the cut; of the rows with that
+    key _take{n} fit.  _left{n} is what is free then."""
     rows = rows.withColumn("_range", _range(F.col("_key")))
     by_range = rows.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_range"))
     crossing = by_range.withColumn("_upto", upto).join(budgets.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).where("_upto > _budget")
     last = crossing.groupBy("_source").agg(F.min_by(F.struct("_range", (F.col("_budget") - F.col("_upto") + F.col("_sum")).alias("_room")), "_range").alias("_at")).select(F.col("_source").alias("_s"), F.col("_at._range").alias("_r"), F.col("_at._room").alias("_room"))
     inside = rows.join(last, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    running = inside.withColumn("_run", F.sum("_size").over(Window.partitionBy("_s", "_range").orderBy("_key"))).where("_run <= _room")
-    cuts = running.groupBy(F.col("_s").alias("_c")).agg(F.max("_key").alias(f"_cut{n}"), F.max("_run").alias("_used"))
+    keys = inside.groupBy("_s", "_room", "_key").agg(F.sum("_size").alias("_sum"), F.max("_size").alias("_one"))
+    running = keys.withColumn("_run", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_key"))).where("_run > _room")
+    free = F.col("_room") - F.col("_run") + F.col("_sum")
+    fit = F.floor(free / F.greatest("_one", F.lit(1)))
+    cuts = running.groupBy(F.col("_s").alias("_c")).agg(F.min_by(F.struct(F.col("_key").alias("key"), fit.alias("take"), (free - fit * F.col("_one")).alias("left")), "_key").alias("_cut"))
     # sources whose rows all fit have no crossing range: everything is below range RANGES
     total = rows.groupBy(F.col("_source").alias("_t")).agg(F.sum("_size").alias("_all"))
     out = budgets.join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").join(cuts, F.col("_source").eqNullSafe(F.col("_c")), "left").join(total, F.col("_source").eqNullSafe(F.col("_t")), "left")
-    left = F.when(F.col("_r").isNull(), F.col("_budget") - F.coalesce("_all", F.lit(0))).otherwise(F.col("_room") - F.coalesce("_used", F.lit(0)))
-    return out.select("_source", F.coalesce("_r", F.lit(RANGES)).alias(f"_range{n}"), F.coalesce(f"_cut{n}", F.lit(-1.0)).alias(f"_cut{n}"), left.alias(f"_left{n}"))
+    left = F.when(F.col("_r").isNull(), F.col("_budget") - F.coalesce("_all", F.lit(0))).otherwise(F.col("_cut.left"))
+    return out.select("_source", F.coalesce("_r", F.lit(RANGES)).alias(f"_range{n}"), F.coalesce("_cut.key", F.lit(-1.0)).alias(f"_cut{n}"), F.coalesce("_cut.take", F.lit(0)).alias(f"_take{n}"), left.alias(f"_left{n}"))
 
 
-def _fits(n: int) -> Column:
+def _below(n: int) -> Column:
+    """Whether the key comes before the one where the budget of pass n ends."""
     at = _range(F.col("_key"))
-    return (at < F.col(f"_range{n}")) | ((at == F.col(f"_range{n}")) & (F.col("_key") <= F.col(f"_cut{n}")))
+    return (at < F.col(f"_range{n}")) | ((at == F.col(f"_range{n}")) & (F.col("_key") < F.col(f"_cut{n}")))
+
+
+def _asked(n: int) -> Column:
+    """Whether pass n looks at the row at all: it is small enough, and no earlier pass ended after it."""
+    out = F.lit(True)
+    for k in range(1, n):
+        out = out & ~_below(k) & (F.col("_size") <= F.col(f"_left{k}"))
+    return out
 
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -101,18 +119,33 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_plan(slim: DataFrame) -> DataFrame:
-    """What each source takes of rows (_source, _size, _key): targets, epochs and two cuts."""
-    goal = staged(targets(slim), "mix-targets")
-    first = staged(_fitting(slim, goal.select("_source", "_budget"), 1), "mix-first")
-    rest = _joined(slim, first).where(~_fits(1) & (F.col("_size") <= F.col("_left1"))).select("_source", "_size", "_key")
-    second = _fitting(rest, first.select("_source", F.col("_left1").alias("_budget")), 2)
-    return staged(_joined(_joined(goal, first), second), "mix-plan")
-
-
-def times() -> Column:
-    """How often a row joined with its plan is taken: all epochs, and once more if it is selected."""
-    second = (F.col("_size") <= F.col("_left1")) & _fits(2)
-    return F.col("_epochs") + F.when(_fits(1) | second, 1).otherwise(0)
+    """What each source takes of rows (_source, _size, _key): targets, epochs and a cut for each pass."""
+    plan = staged(targets(slim), "mix-targets")
+    budgets = plan.select("_source", "_budget")
+    for n in range(1, PASSES + 1):
+        rows = _joined(slim, plan).where(_asked(n)).select("_source", "_size", "_key") if n > 1 else slim
+        plan = staged(_joined(plan, _fitting(rows, budgets, n)), "mix-plan")
+        budgets = plan.select("_source", F.col(f"_left{n}").alias("_budget"))
+    return plan
+
+
+def timed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """`rows` (_source, _size, _key and others) beside their plan, with _times: how often each is
+    taken, all epochs, and once more if it is selected."""
+    passes = range(1, PASSES + 1)
+    rows = _joined(rows, plan)
+    whole = F.greatest(*(_asked(n) & _below(n) for n in passes))
+    some = plan.where(F.greatest(*(F.col(f"_take{n}") for n in passes)) > 0)
+    if some.isEmpty():
+        return rows.withColumn("_times", F.col("_epochs") + whole.cast("int"))
+    # in rows that tie where a budget ends, the first few count
+    take = F.greatest(*(F.when(_asked(n) & (F.col("_key") == F.col(f"_cut{n}")), F.col(f"_take{n}")).otherwise(0) for n in passes))
+    rows = rows.withColumn("_take", take)
+    tied = ranks.numbered(rows.where("_take > 0").withColumn("_spread", F.monotonically_increasing_id()), ["_source", "_key", "_spread"], "_no")
+    first = tied.groupBy(F.col("_source").alias("_s"), F.col("_key").alias("_k")).agg(F.min("_no").alias("_first"))
+    tied = tied.join(first, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k"))).withColumn("_times", F.col("_epochs") + (F.col("_no") - F.col("_first") < F.col("_take")).cast("int"))
+    rest = rows.where("_take = 0").withColumn("_times", F.col("_epochs") + whole.cast("int"))
+    return rest.unionByName(tied.select(*rest.columns))
 
 
 def _slim(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -123,9 +156,9 @@ def _slim(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: st
 def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, times."""
     slim = _slim(docs, seed, id_col, text_col, source_col)
-    return _joined(slim, mix_plan(slim)).select(
+    return timed(slim, mix_plan(slim)).select(
         "doc_id", F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * times()).alias("taken"), times().alias("times"),
+        (F.col("_size") * F.col("_times")).alias("taken"), F.col("_times").alias("times"),
     )
 
 
@@ -133,8 +166,8 @@ def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: s
     """The mixture itself: the rows of `docs` with all their columns, as often as `mix` takes them."""
     plan = mix_plan(_slim(docs, seed, id_col, text_col, source_col))
     packed = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
-    rows = _joined(keyed(packed, seed, "_id", "_text"), plan).withColumn("_times", times()).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")
+    rows = timed(keyed(packed, seed, "_id", "_text"), plan).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +196,15 @@ goal AS (
   SELECT source, words, CASE WHEN cap / w <= lvl THEN cap ELSE w * (SELECT arg_min(lvl, nth) FROM leveled WHERE cap / w > lvl) END AS target FROM leveled),
 plan AS (
   SELECT *, CASE WHEN words > 0 THEN floor(target / words)::BIGINT ELSE 0 END AS epochs FROM goal),
-first AS (
-  SELECT k.*, p.words, p.target, p.epochs, round(p.target)::BIGINT - p.epochs * p.words AS budget,
-         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k) AS upto
-  FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source),
-gap AS (
-  SELECT *, upto <= budget AS one, budget - coalesce(sum(size) FILTER (upto <= budget) OVER (PARTITION BY source), 0) AS free FROM first),
-second AS (
-  SELECT *, NOT one AND size <= free AND sum(CASE WHEN NOT one AND size <= free THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k) <= free AS two FROM gap)
-SELECT doc_id, size, words AS source_size, target,
-       (size * (epochs + CASE WHEN one OR two THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (epochs + CASE WHEN one OR two THEN 1 ELSE 0 END)::BIGINT AS times
-FROM second
+pass0 AS (
+  SELECT row_number() OVER () AS no, k.doc_id, k.source, k.size, k.k, p.words, p.target, p.epochs, false AS taken, round(p.target)::BIGINT - p.epochs * p.words AS free
+  FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)""" + "".join(
+    f""",
+tried{n} AS (
+  SELECT *, NOT taken AND size <= free AND sum(CASE WHEN NOT taken AND size <= free THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k, no ROWS UNBOUNDED PRECEDING) <= free AS fits FROM pass{n - 1}),
+pass{n} AS (
+  SELECT * EXCLUDE (taken, free, fits), taken OR fits AS taken, free - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS free FROM tried{n})"""
+    for n in range(1, PASSES + 1)
+) + f"""
+SELECT doc_id, size, words AS source_size, target, (size * (epochs + taken::INTEGER))::BIGINT AS taken, (epochs + taken::INTEGER)::BIGINT AS times FROM pass{PASSES}
 """

@@ -16,7 +16,6 @@ driver); sort documents by range and encode frames; read all back by decoding.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import shared_dir, staged, table
+from ..shared import own_path
+from .common import staged, table
 from .tokens import cached
 
 MODEL = "byte_bpe_50k.json"
@@ -137,6 +137,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = own_path(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path)

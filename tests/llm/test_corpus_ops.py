@@ -2,7 +2,6 @@
 
 import itertools
 import random
-import uuid
 import zlib
 from collections import Counter
 
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from seriesloom.llm import htmltext, licenses, mixing, neighbours, packing, quality, rans, sharding, simhash, tokencounts, tokenfiles
-from seriesloom.llm.common import shared_dir
 from seriesloom.llm.tokens import cached
+from seriesloom.shared import own_path
 from tests.conftest import DATA, same_rows
+from tests.llm.test_overlap import kept_ids
 
 
 @pytest.fixture(scope="module")
@@ -213,6 +213,18 @@ def test_mixing_meets_targets(spark):
     assert (got.taken <= 2 * got["size"]).all() and abs(got.groupby("source", dropna=False).target.first().sum() - 1.5 * total) < 1e-6
 
 
+def test_mixing_splits_ties(spark):
+    """Equal rows are taken as often as they fit: a source of copies comes within one of them."""
+    rows = [(1, "w " * 10, "a", i) for i in range(300)] + [(2 + i, "v " * 7, "b", i) for i in range(50)] + [(1, "w " * 10, "c", i) for i in range(40)] + [(None, None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine long").repartition(5)
+    got = mixing.mix(docs).toPandas()
+    for size, g in got[got["size"] > 0].groupby("source_size"):
+        assert 0 <= round(g.target.iloc[0]) - g.taken.sum() < g["size"].max() and (g.taken <= 2 * g["size"]).all(), size
+    taken = got.groupby("source_size").times.sum().to_dict()
+    mixed = Counter(r["source"] for r in mixing.mixed(docs).collect() if r["text"])
+    assert mixed == {"a": taken[3000], "b": mixed["b"], "c": taken[400]} and 0 < taken[3000] % 300
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 7, 64, 65, 1000):
         size = F.lit(n).cast("long")
@@ -253,7 +265,7 @@ def test_odd_rows(spark, operator):
 
 
 def test_odd_token_files(spark):
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = own_path(spark, "test")
     tokenfiles.write_tokens(odd_documents(spark), path)
     rows = tokenfiles.read_tokens(spark, path, with_ids=True).orderBy("start").collect()
     order = [r["doc_id"] for r in rows]
@@ -284,9 +296,7 @@ def test_pipeline_against_brute_force(spark):
 
     two = dedup(spark, one, DATA)
     text = {r["doc_id"]: r["text"] for r in one.collect()}
-    ids = sorted(text)
-    root = classes(np.array([simhash.fingerprint(text[i], corpus_pipeline.SHINGLE) for i in ids], np.uint64), corpus_pipeline.BITS)
-    assert two.columns == names and sorted(r["doc_id"] for r in two.collect()) == sorted({ids[r] for r in root})
+    assert two.columns == names and sorted(r["doc_id"] for r in two.collect()) == kept_ids(list(text.items()))
 
     three = mix(spark, two, DATA)
     times = {r["doc_id"]: r["times"] for r in mixing.mix(two).collect()}
