@@ -200,10 +200,14 @@ def edges(prints: DataFrame, bits: int) -> DataFrame:
     return keyed.repartition("kind", "key").select("kind", "print").mapInPandas(joined, "a long, b long")
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b), root being the least node it is connected to."""
+def connected(links: DataFrame, folder: str | None = None) -> DataFrame:
+    """(node, root) for every node of edges (a, b), root being the least node it is connected to; its
+    rounds are staged in `folder`.
+
+    Joins by a node have one row of that node on one side, so a node of many edges can be split there,
+    and sums by a node are made before the shuffle."""
     big, small = F.greatest("a", "b"), F.least("a", "b")
-    now = staged(links.select(big.alias("a"), small.alias("b")).where("a <> b").distinct(), "links")
+    now = staged(links.select(big.alias("a"), small.alias("b")).where("a <> b").distinct(), "links", folder)
     mark = None
     while True:
         # large star: neighbours above a node go to the least node around it
@@ -211,11 +215,11 @@ def connected(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         spread = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its lower neighbours go to the least of them
-        spread = staged(spread.distinct(), "links")
+        spread = staged(spread.distinct(), "links", folder)
         lowest = spread.groupBy("a").agg(F.min("b").alias("m"))
         joined = spread.join(lowest, "a")
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        now = staged(moved.where("a <> b").distinct(), "links")
+        now = staged(moved.where("a <> b").distinct(), "links", folder)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,9 +1,10 @@
 """The pipeline's near-duplicates against all pairs in plain Python."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from seriesloom.llm import overlap, quality
+from seriesloom.llm import overlap, quality, wordhash
 from tests.conftest import DATA
 
 
@@ -31,9 +32,11 @@ def group(n, words, gap):
     return [" ".join(f"own{k}x{i}" if i % gap == k % gap and i // gap % 3 == k % 3 else f"w{i}" for i in range(words)) for k in range(n)]
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_exact_similarity(spark, monkeypatch, few):
+@pytest.mark.parametrize("few, part, held", [(32, 1 << 14, 1 << 26), (2, 1 << 14, 2000), (2, 5, 1 << 26)])
+def test_exact_similarity(spark, monkeypatch, few, part, held):
     monkeypatch.setattr(overlap, "FEW", few)
+    monkeypatch.setattr(overlap, "PART", part)
+    monkeypatch.setattr(overlap, "HELD", held)
     docs = quality.accepted(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     line = "this very common line stands in nearly all of the texts here"
@@ -48,3 +51,20 @@ def test_odd_rows(spark):
     for some, want in ((rows, [4, 5, 6]), ([], [])):
         got = corpus_pipeline.dedup_stage(spark, spark.createDataFrame([(*r, 1) for r in some], "doc_id long, text string, `print` int"), "")
         assert got.columns == ["doc_id", "text", "print"] and sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_word_hashes(monkeypatch, texts=("", None, "a", "A", " a\t", "ab", "a b", "b a", "a b c d e f", "A  b\nc d e\x0bf", "\u00c4 \u00e4", "x " * 3000, "y" * 5000)):
+    """Equal words, runs and wholes, and no others, have equal hashes, alone or in a batch, in short stretches too."""
+    want = [tuple((t or "").encode().lower().split()) for t in texts]
+    for chunk in (1 << 20, 16):
+        monkeypatch.setattr(wordhash, "CHUNK", chunk)
+        found, at = wordhash.words(texts)
+        assert [tuple(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [tuple(wordhash.words([t])[0]) for t in texts]
+        whole = wordhash.wholes(found, at).tolist()
+        assert all((whole[i] == whole[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(len(texts)))
+        sets = wordhash.sets(texts, 5)
+        assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+        runs, bounds = wordhash.shingles(found, at, 5)
+        bits = [int(2 * sum((int(h) >> b) & 1 for h in runs[x:y]) > y - x) << b for x, y in zip(bounds[:-1], bounds[1:], strict=True) for b in range(64)]
+        assert wordhash.majorities(runs, bounds).tolist() == [sum(bits[64 * i : 64 * i + 64]) for i in range(len(texts))]
+    assert wordhash.sets([], 5) == [] and not len(wordhash.words([])[0]) and (np.diff(wordhash.words([])[1]) == 0).all()
