@@ -3,12 +3,14 @@
 Each rule looks at a document's counts and votes good, votes bad or abstains.  Expectation
 maximisation over the vote patterns of the corpus estimates how often a rule's votes are right for
 good and for bad documents, without labels; a document's posterior probability of being good then
-decides, so no single rule is a veto.  Votes depend on counts only, so the corpus enters the fit as
-at most 3 ** 9 = 19,683 pattern counts, whatever its size; only those reach the driver.
+decides, so no single rule is a veto.  Each rule measures something of its own and votes both ways on
+real text; what its votes are worth the fit finds out.  Votes depend on counts only, so the corpus enters
+the fit as at most 3 ** 10 = 59,049 pattern counts, whatever its size; only those reach the driver.
 
 * null or empty text: no words, all counts 0, and the base rule fails it; null ids and repeated rows
   are judged row by row; empty table: no rows, the model keeps its starting values.
-* Other columns of the input are kept by `accepted` and left out by `judge`.
+* Ties: a posterior of exactly KEEP_AT is kept.  Very long texts are counted whole.
+* Other columns of the input are kept by `accepted`, whatever their names, and left out by `judge`.
 * Windows of three words are compared by 64-bit hashes inside one text.
 """
 
@@ -36,8 +38,9 @@ def counts(text: Column) -> dict[str, Column]:
         "n_symbols": only("#*$%&|<>"),
         "n_letters": only(r"\p{L}"),
         "n_capitals": only(r"\p{Lu}"),
-        "n_shouts": only("!?"),
         "n_stops": only(".!?"),
+        "n_bare": F.regexp_count(text, F.lit(rf"(?<![^\x20\x09-\x0D])[^\p{{L}}\p{{N}}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).cast("long"),
+        "n_runs": F.regexp_count(text, F.lit(r"([#*$%&|<>=_~^+@/\\-])\1\1+")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
@@ -75,15 +78,16 @@ def _share(a: str, b: str) -> Column:
 
 #: name, when a document is good, when it is bad; else the rule abstains
 RULES = {
-    "length": lambda: (F.col("_f.n_words").between(100, 100_000), F.col("_f.n_words") < MIN_WORDS),
-    "word_length": lambda: (_share("word_chars", "n_words").between(3, 10), ~_share("word_chars", "n_words").between(2, 16)),
-    "symbols": lambda: (_share("n_symbols", "n_words") < 0.02, _share("n_symbols", "n_words") > 0.1),
-    "symbol_chars": lambda: (_share("n_symbols", "word_chars") < 0.005, _share("n_symbols", "word_chars") > 0.03),
-    "lines": lambda: (_share("n_dup_lines", "n_lines") < 0.1, _share("n_dup_lines", "n_lines") > 0.3),
-    "repeats": lambda: (_share("n_repeat_words", "n_words") < 0.2, _share("n_repeat_words", "n_words") > 0.4),
-    "letters": lambda: (_share("n_letters", "word_chars") > 0.85, _share("n_letters", "word_chars") < 0.7),
-    "capitals": lambda: (_share("n_capitals", "n_letters") < 0.15, _share("n_capitals", "n_letters") > 0.4),
-    "sentences": lambda: (_share("n_stops", "n_words").between(0.01, 0.25) & (_share("n_shouts", "n_words") < 0.05), (_share("n_stops", "n_words") > 0.5) | (_share("n_shouts", "n_words") > 0.2) | (_share("n_stops", "n_words") < 0.001)),
+    "symbols": lambda: (_share("n_symbols", "word_chars") < 0.005, _share("n_symbols", "word_chars") > 0.03),
+    "runs of one symbol": lambda: (_share("n_runs", "n_words") < 0.005, _share("n_runs", "n_words") > 0.05),
+    "words of no letter or digit": lambda: (_share("n_bare", "n_words") < 0.02, _share("n_bare", "n_words") > 0.1),
+    "letters": lambda: (_share("n_letters", "word_chars") > 0.93, _share("n_letters", "word_chars") < 0.88),
+    "word length": lambda: (_share("word_chars", "n_words").between(4.5, 6.5), ~_share("word_chars", "n_words").between(4.2, 7)),
+    "repeated lines": lambda: (_share("n_dup_lines", "n_lines") < 0.05, _share("n_dup_lines", "n_lines") > 0.15),
+    "repeated words": lambda: (_share("n_repeat_words", "n_words") < 0.05, _share("n_repeat_words", "n_words") > 0.15),
+    "line length": lambda: (_share("n_words", "n_lines") > 20, _share("n_words", "n_lines") < 12),
+    "sentences": lambda: (_share("n_stops", "n_words").between(0.05, 0.15), ~_share("n_stops", "n_words").between(0.03, 0.2)),
+    "capitals": lambda: (_share("n_capitals", "n_letters").between(0.01, 0.035), ~_share("n_capitals", "n_letters").between(0.006, 0.045)),
 }
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -129,6 +130,38 @@ def test_quality_keeps_the_good(spark, duck):
     assert all(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def votes_of(text):
+    """The rules in plain Python: 0 bad, 1 none, 2 good."""
+    n, chars, symbols, dup, again = counts_of(text)
+    letters = [c for c in text if c.isalpha() and unicodedata.category(c)[0] == "L"]
+    capitals = sum(unicodedata.category(c) == "Lu" for c in letters)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    bare = sum(not any(unicodedata.category(c)[0] in "LN" for c in w) for w in words)
+    runs = len(re.findall(r"([#*$%&|<>=_~^+@/\\-])\1\1+", text))
+    per = lambda a, b: a / max(b, 1)
+    pairs = [
+        (per(symbols, chars) < 0.005, per(symbols, chars) > 0.03), (per(runs, n) < 0.005, per(runs, n) > 0.05), (per(bare, n) < 0.02, per(bare, n) > 0.1),
+        (per(len(letters), chars) > 0.93, per(len(letters), chars) < 0.88), (4.5 <= per(chars, n) <= 6.5, not 4.2 <= per(chars, n) <= 7),
+        (per(dup, lines) < 0.05, per(dup, lines) > 0.15), (per(again, n) < 0.05, per(again, n) > 0.15), (per(n, lines) > 20, per(n, lines) < 12),
+        (0.05 <= per(sum(text.count(c) for c in ".!?"), n) <= 0.15, not 0.03 <= per(sum(text.count(c) for c in ".!?"), n) <= 0.2),
+        (0.01 <= per(capitals, len(letters)) <= 0.035, not 0.006 <= per(capitals, len(letters)) <= 0.045),
+    ]
+    return [0 if bad else 2 if good else 1 for good, bad in pairs]
+
+
+def test_quality_verdict(spark):
+    """Votes, fit and verdict end to end; every rule votes both ways on real documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    votes = {i: votes_of(t) for i, t in text.items() if counts_of(t)[0] >= 50 and 2 * counts_of(t)[4] <= counts_of(t)[0]}
+    for j, name in enumerate(quality.RULES):
+        assert {0, 2} <= {v[j] for v in votes.values()}, name
+    model = quality.fit(list(Counter(sum(x * 3**j for j, x in enumerate(v)) for v in votes.values()).items()))
+    want = {i for i, v in votes.items() if model.probability(v) >= quality.KEEP_AT}
+    assert {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]} == want and 0 < len(want) < len(votes)
+
+
 def test_expectation_maximisation():
     """Votes drawn from known rates give those rates back, and the column is the Python formula."""
     rng, n = random.Random(3), len(quality.RULES)
@@ -146,7 +179,7 @@ def test_posterior_column(spark):
     from pyspark.sql import functions as F
 
     model = quality.LabelModel()
-    for r in spark.range(0, 3**9, 997).select("id", model.posterior(F.col("id")).alias("p")).collect():
+    for r in spark.range(0, 3 ** len(quality.RULES), 2999).select("id", model.posterior(F.col("id")).alias("p")).collect():
         assert abs(r["p"] - model.probability(quality.digits(r["id"]))) < 1e-12
 
 
