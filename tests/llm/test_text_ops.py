@@ -183,6 +183,9 @@ def test_posterior_column(spark):
         assert abs(r["p"] - model.probability(quality.digits(r["id"]))) < 1e-12
 
 
+LONG = ("running text of an article " * 9).strip()
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
@@ -196,12 +199,41 @@ def test_posterior_column(spark):
         ("", ""),
         (None, ""),
         ("<article><p>&#233;&nbsp;&lt;b&gt; x</p><p> </p><p>x\n\ty</p></article>", "é <b> x\nx y"),
+        (f"<article><p class='ad'>Buy now</p><p>{LONG}</p><li class=promo>x</li><p>a<button>Go</button> b<label>L</label></p></article>", f"{LONG}\na b"),
+        (f"<article><section class='market share'><p>{LONG}</p></section><section id='notice-periods'><p>Short.</p></section></article>", f"{LONG}\nShort."),
+        (f"<article data-id='related' class='post category-social'><p>{LONG}</p></article>", LONG),
+        (f"<body class='has-sidebar cookie consent'><div><p>{LONG}</p><p>end</p></div></body>", f"{LONG}\nend"),
+        (f"<article><p>{LONG}</p></article><article class=teaser><p>More to read here.</p></article>", LONG),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Teaser one</p></article><article><p>Teaser two</p></article>", f"{LONG}\n{LONG}"),
+        (f"<main><ul>{'<li><a href=x>link to it</a></li>' * 9}</ul><p>{LONG}</p><p>end</p></main>", f"{LONG}\nend"),
+        (f"<article><p>{LONG}</p><div class=ad>x</div><div class=ad>x</div><div class=ad>x</div><p>Last words.</p></article><p>Stray words.</p>", f"{LONG}\nLast words."),
+        (f"<div class=widget><p>{LONG}</p></div><div class=widget>small</div>", LONG),
     ],
 )
 def test_main_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+def test_the_sums_decide_every_page(spark, duck, monkeypatch):
+    calls = []
+    real = htmltext.between
+    monkeypatch.setattr(htmltext, "between", lambda *a: calls.append(a) or real(*a))
+    pages = [r[0] for r in duck.sql("SELECT html FROM pages").fetchall()]
+    for page in pages:
+        htmltext.main_text(page)
+    assert len(calls) == len(pages)
+    monkeypatch.setattr(htmltext, "between", lambda lengths: [])
+    assert not any(map(htmltext.main_text, pages))
+
+
+def test_long_and_empty_pages(spark):
+    long = "<article>" + "".join(f"<p>{LONG} {i}</p>" for i in range(20_000)) + "<p>" + "y" * 2_000_000 + "</p></article>"
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    rows = htmltext.extracted(spark.createDataFrame([(1, "u", long, "t", 0), (1, "u", long, "t", 0)], schema)).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0]["text"].count("\n") == 20_000 and rows[0]["text"].endswith("y" * 2_000_000)
+    assert htmltext.extracted(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_line_blocks():
     assert htmltext.between([5, 0, 0, 0, 90, 40, 0, 60, 0, 0, 0, 3]) == [(4, 8)]
     assert htmltext.between([3, 2]) == [(0, 2)] and htmltext.between([]) == []
