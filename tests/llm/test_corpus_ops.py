@@ -108,8 +108,10 @@ def test_packing(spark, texts):
     check_packed(packing.op7_packing(spark, DATA).collect(), texts)
 
 
-@pytest.mark.parametrize("scale", [1.0, None])
-def test_neighbours(spark, duck, scale):
+@pytest.mark.parametrize("scale, blocks", [(None, (65_536, 65_536)), (1.0, (97, 7)), (1e6, (200, 25))])
+def test_neighbours(spark, duck, monkeypatch, scale, blocks):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", blocks[0])
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", blocks[1])
     rows = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
     rng = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x * (scale or f))) for x in v]) for (i, v), f in zip(rows, rng.uniform(0.2, 3, len(rows)), strict=True)]
@@ -134,6 +136,8 @@ def test_neighbours_edges(spark):
     v = [(20, [1.0, 2.0]), (40, [1.0, 2.0]), (None, [0.5, 0.5]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [1.0]), (6, [None, 1.0]), (7, [float("inf"), 0.0])]
     got = [tuple(r) for r in neighbours.nearest(spark.createDataFrame(v, "vec_id long, embedding array<float>"), 20).orderBy("query_id", "rank").collect()]
     assert got == [(20, 1, 1, 5.0), (20, 2, 40, 5.0), (20, 3, None, 1.5), (40, 1, 1, 5.0), (40, 2, 20, 5.0), (40, 3, None, 1.5)]
+    odd = spark.createDataFrame([(*r, 1, 2, "x", True) for r in v], "vec_id long, embedding array<float>, row int, part int, v string, asks boolean")
+    assert sorted(tuple(r) for r in neighbours.nearest(odd, 20).collect()) == sorted(got, key=lambda r: r[:2])
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), 20).count() == 0
 
 
