@@ -12,10 +12,10 @@ exact, on the original vectors, in double precision, summed from the first coord
 
 The sorted arrays are cut into blocks of rows, all hashed by the same planes, so a prefix's stretch in
 the whole forest is the union of its stretches in the blocks.  Blocks of queries meet blocks of rows, a
-task each, and a query's best from all blocks are merged.  First every query is searched in one
-block; its k-th score there is a bound below which no block looks any further, so all blocks stop at
-the level that suits the whole table, not their own rows.  Sending queries to all blocks still grows with
-the product of both numbers.
+task each, and a query's best from all blocks are merged.  Rows are dealt to blocks at random, so of the k
+nearest in the table a block of 1 / p of all rows has about k / p, and at most k / p + 2 sqrt(k / p) but for
+rare cases: ascending stops by the score of that rank in the block, which suits the whole table and
+not the block's own rows.  Sending queries to all blocks grows with the product of both numbers.
 
 * Vectors that are null, zero, of other length than the shortest-id valid one, or that hold null or
   non-finite numbers take no part, as query or as candidate.
@@ -72,16 +72,17 @@ class Forest:
         pairs = [(np.searchsorted(own, a), np.searchsorted(own, b)) for own, a, b in zip(self.codes, low, high, strict=True)]
         return np.stack([x for x, _ in pairs]), np.stack([x for _, x in pairs])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of candidates, with the k best of each query and all that tie with
-        the last of them; `own` is the query's own row here, or -1.  What is below `floor` is left out."""
+        the last of them; `own` is the query's own row here, or -1; `share` is that of all rows that are here."""
         nq, n = len(queries), len(self.vectors)
         codes = self.hashed(np.column_stack((queries, np.zeros(nq))))
         norms = np.sqrt((queries**2).sum(1)) * self.largest
         seen, tag = np.zeros(nq * n, bool), np.zeros(nq * n, np.int32)
         seen[(np.arange(nq) * n + own)[own >= 0]] = True
         asked, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        kth = np.full(nq, -np.inf) if floor is None else floor.copy()
+        kth, due = np.full(nq, -np.inf), np.full(nq, -np.inf)
+        rank = min(k, math.ceil(k * share + 2 * math.sqrt(k * share)))
         close = CLOSE * norms * queries.shape[1]  # sums in another order differ by less
         active, was = np.arange(nq), None
         for level in range(self.depth, -1, -1):
@@ -100,10 +101,12 @@ class Forest:
             asked, row, score = asked[order], row[order], score[order]
             first = np.searchsorted(asked, np.arange(nq))
             full = np.diff(np.append(first, len(asked))) >= k
-            kth[full] = np.maximum(kth[full], score[first[full] + k - 1])
+            kth[full] = score[first[full] + k - 1]
+            some = np.diff(np.append(first, len(asked))) >= rank
+            due[some] = score[first[some] + rank - 1]
             keep = score >= (kth - close)[asked]
             asked, row, score = asked[keep], row[keep], score[keep]
-            near = np.arccos(np.clip(kth[active] / norms[active], -1, 1))
+            near = np.arccos(np.clip(due[active] / norms[active], -1, 1))
             missed = (1 - (1 - near / math.pi) ** level) ** self.trees
             going = (missed > 1 - recall) if level else np.zeros(len(active), bool)
             was = lo[:, going], hi[:, going]
@@ -149,23 +152,15 @@ def nearest(table_: DataFrame, every: int, k: int = K, recall: float = RECALL, t
         for a in range(0, len(asking), STEP):
             some = asking.iloc[a : a + STEP].reset_index(drop=True)
             mine = np.array([at.get(r, -1) for r in some["row"]])
-            asked, row, score = forest.search(np.stack(some["v"].to_numpy()), mine, k, recall, some["floor"].to_numpy(np.float64))
+            asked, row, score = forest.search(np.stack(some["v"].to_numpy()), mine, k, recall, 1 / parts)
             found = pd.DataFrame({"query_id": some["id"].to_numpy()[asked], "query_row": some["row"].to_numpy()[asked], "vec_id": ids[row], "score": score})
             found = found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True], kind="stable")
             out.append(found[found.groupby("query_row").cumcount() < k])
         return pd.concat(out)
 
-    def found_in(asks: DataFrame, index: DataFrame) -> DataFrame:
-        both = index.withColumn("asks", F.lit(False)).withColumn("floor", F.lit(None).cast("double")).unionByName(asks.withColumn("asks", F.lit(True)))
-        return both.groupBy("part", "grp").applyInPandas(searched, best)
-
-    index = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "v", "row", deal(parts, 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    asks = rows.where(F.col("id") % every == 0).select("id", "v", "row", deal(groups, 2).alias("grp"), F.lit(float("-inf")).alias("floor"))
-    if parts > 1:
-        one = found_in(asks.withColumn("part", deal(parts, 3)), index)
-        floors = staged(one.groupBy(F.col("query_row").alias("row")).agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("row", "low"), "floors")
-        asks = asks.join(floors, "row", "left").withColumn("floor", F.coalesce("low", "floor")).drop("low")
-    local = found_in(asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), index)
+    index = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "v", "row", deal(parts, 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"))
+    asks = rows.where(F.col("id") % every == 0).select("id", "v", "row", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), deal(groups, 2).alias("grp"), F.lit(True).alias("asks"))
+    local = index.union(asks).groupBy("part", "grp").applyInPandas(searched, best)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 
