@@ -50,6 +50,12 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM for a collection: Spark deletes shuffle files once nothing refers to the
+    query they belong to, and a driver with little to do may not collect for half an hour."""
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application put below `own_dir`; call it when no result is read any more."""
     delete(spark, own_dir(spark))
