@@ -15,7 +15,7 @@ from .streaming import replay
 
 ORDER = ["ts", "event_id"]
 SENSORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-VECTOR = [f"x{i}" for i in range(8)]
+VECTOR = [f"x{i}" for i in range(64)]
 
 
 def r6(column: str, alias: str | None = None):
@@ -86,13 +86,11 @@ def run_split(spark, d):
 
 
 def single_run_types(spark, d):
-    e = runs.events(spark, d)
-    one = e.where((F.col("accident_type") != "view") | (F.col("severity_id") == "1"))
-    return splits.single_run_types(one)
+    return splits.single_run_types(runs.events(spark, d))
 
 
 def routed_windows(spark, d):
-    e = _rows(spark, d).where((F.col("accident_type") != "view") | (F.col("severity_id") == "1"))
+    e = _rows(spark, d)
     return splits.routed(windows.rolling(e, ["value"]), e).groupBy("accident_type", "split").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
@@ -197,7 +195,7 @@ def canonical_header(spark, d):
 
 
 def ecdf(spark, d):
-    return _rounded(eda.ecdf(runs.events(spark, d).where("accident_type = 'view'"), "value"))
+    return _rounded(eda.ecdf(runs.events(spark, d), "value"))
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -277,7 +275,7 @@ def lstm_predict(spark, d):
 def permutation_importance(spark, d):
     train, every = _train(spark, d)
     x, y = models.matrix(train, VECTOR, "label", ["vec_id"])
-    return models.permutation_importance(every, VECTOR[:3], models.Cart.fit(x, y, 10, max_depth=4).prediction(VECTOR), "label", ["vec_id"])
+    return models.permutation_importance(every, VECTOR, models.Cart.fit(x, y, 10, max_depth=4).prediction(VECTOR), "label", ["vec_id"])
 
 
 def _scores(spark, d):
@@ -295,6 +293,10 @@ def ood_rates(spark, d):
     return _rounded(ood.rates(s, ood.threshold(s.where("not is_ood"))))
 
 
+def ood_mean_scores(spark, d):
+    return _rounded(ood.mean_scores(_scores(spark, d)))
+
+
 def auroc_rank(spark, d):
     return _rounded(ood.auroc(_scores(spark, d)))
 
@@ -332,6 +334,6 @@ QUERIES = {
         per_class_metrics, macro_f1, fixed_length_sequences, normalization_stats, zscored_sequences, longest_run, first_runs, relative_power, downsample,
         ramp_reactivity, histogram_bins, axis_extents, heat_colors, canonical_header, ecdf, best_split_sse, best_split_gini, node_impurity, softmax_scores,
         gaussian_nb_params, gaussian_nb_predict, cart_predict, boosting_predict, random_forest_predict, lstm_predict, permutation_importance, ood_threshold,
-        ood_rates, auroc_rank, kinetics_sim, thermal_feedback, stream_incremental_features,
+        ood_rates, ood_mean_scores, auroc_rank, kinetics_sim, thermal_feedback, stream_incremental_features,
     )
 }

@@ -47,18 +47,18 @@ def label_index(labels: DataFrame, column: str = "accident_type") -> DataFrame:
 
 def histogram(values: DataFrame, column: str, width: float) -> DataFrame:
     """Counts of floor(v / width), all bins from 0 to ceil(max / width) present, the last taking what
-    lies beyond; no bins without values."""
-    bins = values.agg((F.ceil(F.max(column) / width) + 1).cast("int").alias("n")).where("n is not null")
+    lies beyond and the first what is negative; the maximum is 0 at least; no bins without values."""
+    bins = values.agg(F.when(F.max(column).isNotNull(), F.ceil(F.greatest(F.max(column), F.lit(0)) / width) + 1).cast("int").alias("n")).where("n is not null")
     every = bins.select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
     # ceil(max / w) is never below floor(v / w), so the clamp to the last bin binds no value
-    counted = values.where(F.col(column).isNotNull()).groupBy(F.floor(F.col(column) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_values"))
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.greatest(F.floor(F.col(column) / width), F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_values"))
     return every.join(counted, "bin", "left").select("bin", (F.col("bin") * width).cast("double").alias("bin_start"), F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"))
 
 
 def extents(series: DataFrame, x: str, y: str, headroom: float = 0.1, pad: float = 0.05) -> DataFrame:
-    """Axis extents over all series: x as it is, y padded by a share of its range (of 1 at least), and the bar top."""
+    """Axis extents over all series: x as it is, y padded by a share of its range (of 1 at least), and the bar top, from 0 on."""
     span = F.greatest(F.max(y) - F.min(y), F.lit(1.0)) * pad
-    return series.agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), (F.min(y) - span).alias("y_min"), (F.max(y) + span).alias("y_max"), (F.max(y) * (1 + headroom)).alias("bar_top"))
+    return series.agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), (F.min(y) - span).alias("y_min"), (F.max(y) + span).alias("y_max"), F.when(F.max(y).isNotNull(), F.greatest(F.max(y), F.lit(0.0)) * (1 + headroom)).alias("bar_top"))
 
 
 def longest_run(durations: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, softmax
+from ..shared import staged
 from .trees import Tree, fit_tree
 
 #: Cells of a training matrix that the driver and each executor may hold.
@@ -127,14 +128,18 @@ def forest(train: DataFrame, features: list[str], label: str, trees: int = 50, d
 def permutation_importance(rows: DataFrame, features: list[str], prediction: Column, label: str, order: list, shift: int = 1) -> DataFrame:
     """feature, accuracy_drop: how much accuracy falls when one feature's values move to other rows.
 
-    Each feature is exchanged by a hash order, one after another."""
-    from pyspark.sql import Window
+    Rows are numbered once in a hash order, by many tasks; each feature's values come from the row `shift`
+    places before, those of the first rows from themselves."""
+    from .ranks import numbered
 
-    base = rows.agg(F.avg((prediction == F.col(label)).cast("double")).alias("a")).first()["a"]
+    kept = numbered(rows.select(*features, label, F.xxhash64(*order).alias("_h"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), ["_h", *(f"_o{i}" for i in range(len(order)))], "_no")
+    before = kept.select((F.col("_no") + shift).alias("_to"), F.struct(*features).alias("_moved"))
+    both = staged(kept.join(before, kept["_no"] == before["_to"], "left").drop("_to"), "moved")
+    right = lambda c: (c == F.col(label)).cast("double")
     out = None
+    base = both.withColumn("_base", right(prediction))
     for f in features:
-        w = Window.orderBy(F.xxhash64(F.lit(f), *order), *order)
-        moved = rows.withColumn(f, F.coalesce(F.lag(f, shift).over(w), F.col(f)))
-        one = moved.agg((F.lit(base) - F.avg((prediction == F.col(label)).cast("double"))).alias("accuracy_drop")).select(F.lit(f).alias("feature"), "accuracy_drop")
+        swapped = base.withColumn(f, F.coalesce(F.col(f"_moved.{f}"), F.col(f)))
+        one = swapped.agg((F.avg("_base") - F.avg(right(prediction))).alias("accuracy_drop")).select(F.lit(f).alias("feature"), "accuracy_drop")
         out = one if out is None else out.union(one)
     return out

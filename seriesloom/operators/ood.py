@@ -28,6 +28,11 @@ def rates(scores: DataFrame, limit: DataFrame, score: str = "score") -> DataFram
     )
 
 
+def mean_scores(scores: DataFrame, score: str = "score") -> DataFrame:
+    """The mean score of known and of OOD rows; null for a side without rows."""
+    return scores.agg(F.avg(F.when(~F.col("is_ood"), F.col(score))).alias("known_mean"), F.avg(F.when(F.col("is_ood"), F.col(score))).alias("ood_mean"))
+
+
 def auroc(scores: DataFrame, score: str = "score") -> DataFrame:
     """P(ood < known) + P(equal) / 2 over all pairs, from sorted counts: each distinct score adds its
     OOD rows times the known rows above it and half those beside it."""

@@ -21,7 +21,6 @@ w AS (SELECT accident_type, severity_id, time_seconds AS window_start_seconds, e
 
 
 WINDOWS = READ + _win()
-ONE_VIEW = READ + ", r1 AS (SELECT * FROM r WHERE accident_type <> 'view' OR severity_id = '1')"
 NUMBER = "try_cast(severity_id AS DOUBLE)"
 SEVERITY = f"{NUMBER} IS NULL, {NUMBER}, severity_id"
 SPLIT = f""",
@@ -40,9 +39,10 @@ c AS (SELECT accident_type, label_idx, p AS precision, rc AS recall, CASE WHEN p
 SEQ = READ + """,
 q AS (SELECT accident_type, severity_id, s.step::INTEGER AS step, first(value ORDER BY row_idx DESC) AS value
       FROM r, (SELECT unnest(range(10)) AS step) s WHERE row_idx <= s.step GROUP BY ALL)"""
-VECTORS = "v AS (SELECT vec_id, label::INTEGER AS label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + " FROM embeddings)"
-LONG = VECTORS + ",\nf AS (" + " UNION ALL ".join(f"SELECT vec_id, label, {i} AS feature, x{i} AS value FROM v" for i in range(8)) + ")"
-SOFTMAX = VECTORS + ",\nx AS (SELECT *, greatest(x0,x1,x2,x3,x4,x5,x6,x7) AS top FROM v),\ns AS (SELECT vec_id, label, top, " + "x0,x1,x2,x3,x4,x5,x6,x7, exp(x0-top) AS e0, " + " + ".join(f"exp(x{i}-top)" for i in range(8)) + " AS z FROM x)"
+XS = ",".join(f"x{i}" for i in range(64))
+VECTORS = "v AS (SELECT vec_id, label::INTEGER AS label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64)) + " FROM embeddings)"
+LONG = VECTORS + ",\nf AS (" + " UNION ALL ".join(f"SELECT vec_id, label, {i} AS feature, x{i} AS value FROM v" for i in range(64)) + ")"
+SOFTMAX = VECTORS + ",\nx AS (SELECT *, greatest(" + XS + ") AS top FROM v),\ns AS (SELECT vec_id, label, top, " + XS + ", exp(x0-top) AS e0, " + " + ".join(f"exp(x{i}-top)" for i in range(64)) + " AS z FROM x)"
 SCORES = SOFTMAX + ",\nsc AS (SELECT vec_id, label >= 8 AS is_ood, round(1 / z, 4) AS score FROM s)"
 THRESHOLD = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM sc WHERE NOT is_ood) WHERE i = least(floor(n * 0.05), n - 1))"
 SSE = """
@@ -75,8 +75,8 @@ ORACLE = {
     "windows_per_type": f"WITH {WINDOWS} SELECT t.accident_type, count(w.accident_type) AS n_windows FROM (SELECT DISTINCT accident_type FROM r) t LEFT JOIN w USING (accident_type) GROUP BY 1",
     "zero_window_types": f"WITH {READ + _win(25)} SELECT DISTINCT accident_type FROM r WHERE accident_type NOT IN (SELECT accident_type FROM w)",
     "run_split": f"WITH {READ + SPLIT % 'r'} SELECT accident_type, severity_id, split FROM sp",
-    "single_run_types": f"WITH {ONE_VIEW} SELECT accident_type FROM r1 GROUP BY 1 HAVING count(DISTINCT severity_id) < 2",
-    "routed_windows": f"WITH {ONE_VIEW + _win(5, 3, 'r1') + SPLIT % 'r1'} SELECT accident_type, CASE WHEN split = 'train' OR accident_type IN (SELECT accident_type FROM k WHERE n < 2) THEN 'train' ELSE 'test' END AS split, count(*) AS n_windows FROM w LEFT JOIN sp USING (accident_type, severity_id) GROUP BY ALL",
+    "single_run_types": f"WITH {READ} SELECT accident_type FROM r GROUP BY 1 HAVING count(DISTINCT severity_id) < 2",
+    "routed_windows": f"WITH {WINDOWS + SPLIT % 'r'} SELECT accident_type, CASE WHEN split = 'train' OR accident_type IN (SELECT accident_type FROM k WHERE n < 2) THEN 'train' ELSE 'test' END AS split, count(*) AS n_windows FROM w LEFT JOIN sp USING (accident_type, severity_id) GROUP BY ALL",
     "subsample_train": f"WITH {WINDOWS}, o AS (SELECT *, row_number() OVER (PARTITION BY accident_type ORDER BY {SEVERITY}, window_start_seconds) - 1 AS k, count(*) OVER (PARTITION BY accident_type) AS n FROM w) SELECT accident_type, severity_id, round(window_start_seconds, 6) AS window_start_seconds FROM o WHERE n <= 100 OR k IN (SELECT floor(i * (n - 1) / 99) FROM (SELECT unnest(range(100)) AS i))",
     "label_index": f"WITH {LABELS} SELECT accident_type, label_idx FROM l",
     "confusion_matrix": f"WITH {MATRIX} SELECT true_idx, pred_idx, n FROM m",
@@ -95,15 +95,16 @@ ORACLE = {
     "axis_extents": f"WITH {READ} SELECT round(min(time_seconds), 6) AS x_min, round(max(time_seconds), 6) AS x_max, round(min(value) - greatest(max(value) - min(value), 1) * 0.05::DOUBLE, 6) AS y_min, round(max(value) + greatest(max(value) - min(value), 1) * 0.05::DOUBLE, 6) AS y_max, round(max(value) * 1.1::DOUBLE, 6) AS bar_top FROM r",
     "heat_colors": "WITH a AS (SELECT event_id, least(greatest(value / 100 - 0.1::DOUBLE, 0), 1) AS f FROM events) SELECT event_id, '#' || " + " || ".join(f"lpad(lower(to_hex(round(255 + ({c} - 255) * f)::BIGINT)), 2, '0')" for c in (30, 60, 150)) + " AS color FROM a",
     "canonical_header": "SELECT props AS header, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, header LIMIT 1",
-    "ecdf": "SELECT round(value, 6) AS value, round((row_number() OVER (ORDER BY value) - 1) / count(*) OVER (), 6) AS fraction FROM events WHERE event_type = 'view'",
+    "ecdf": "SELECT round(value, 6) AS value, round((row_number() OVER (ORDER BY value) - 1) / count(*) OVER (), 6) AS fraction FROM events",
     "best_split_sse": f"WITH {LONG}, {SSE} {BEST}",
     "best_split_gini": f"WITH {LONG}, {GINI} {BEST}",
     "node_impurity": f"WITH {VECTORS}, c AS (SELECT vec_id % 7 AS node, label, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT vec_id % 7 AS node, avg(label) AS mean, count(*) AS total FROM v GROUP BY ALL) SELECT node, round(1 - sum((n / total) * (n / total)), 6) AS gini, round(any_value(mean), 6) AS mean FROM c JOIN t USING (node) GROUP BY node",
-    "softmax_scores": f"WITH {SOFTMAX} SELECT vec_id, round(1 / z, 6) AS max_probability, (list_position([x0,x1,x2,x3,x4,x5,x6,x7], top) - 1)::INTEGER AS pred_idx, round(e0 / z, 6) AS p0 FROM s",
+    "softmax_scores": f"WITH {SOFTMAX} SELECT vec_id, round(1 / z, 6) AS max_probability, (list_position([{XS}], top) - 1)::INTEGER AS pred_idx, round(e0 / z, 6) AS p0 FROM s",
     "gaussian_nb_params": f"WITH {BAYES} SELECT label, feature::INTEGER AS feature, round(prior, 6) AS prior, round(mean, 6) + 0::DOUBLE AS mean, round(var, 6) AS var FROM p",
     "gaussian_nb_predict": f"WITH {BAYES}, s AS (SELECT vec_id, p.label, round(sum(-0.5 * ln(2 * pi() * var) - (value - mean) * (value - mean) / (2 * var)) + ln(any_value(prior)), 6) AS ll FROM f JOIN p ON f.feature = p.feature GROUP BY ALL) SELECT vec_id AS row_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, label) AS i FROM s) WHERE i = 1",
     "ood_threshold": f"WITH {SCORES} SELECT {THRESHOLD} AS threshold",
     "ood_rates": f"WITH {SCORES} SELECT round({THRESHOLD}, 6) AS threshold, round(avg((score < {THRESHOLD})::INTEGER) FILTER (NOT is_ood), 6) AS false_alarm_rate, round(avg((score < {THRESHOLD})::INTEGER) FILTER (is_ood), 6) AS ood_detection_rate FROM sc",
+    "ood_mean_scores": f"WITH {SCORES} SELECT round(avg(score) FILTER (NOT is_ood), 6) AS known_mean, round(avg(score) FILTER (is_ood), 6) AS ood_mean FROM sc",
     "auroc_rank": f"WITH {SCORES} SELECT round(sum(CASE WHEN o.score < k.score THEN 1.0 WHEN o.score = k.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS auroc FROM (SELECT score FROM sc WHERE is_ood) o CROSS JOIN (SELECT score FROM sc WHERE NOT is_ood) k",
 }
 ORACLE["rolling_features_grouped"] = ORACLE["rolling_features"]

@@ -186,3 +186,17 @@ def test_kinetics(rho, want):
 
 def test_kinetics_rest():
     assert abs(kinetics.simulate(lambda t: 0.0, 1.0, 0.001)[-1][1] - 1) < 1e-12
+
+
+def test_histogram_takes_negative_values(spark):
+    rows = spark.createDataFrame([(-30.0,), (-1.0,), (0.0,), (10.0,), (30.0,), (None,)], "v double")
+    assert [(r["bin"], r["n_values"]) for r in eda.histogram(rows, "v", 25.0).orderBy("bin").collect()] == [(0, 4), (1, 1), (2, 0)]
+    low = rows.where("v < -20")
+    assert [(r["bin"], r["n_values"]) for r in eda.histogram(low, "v", 25.0).collect()] == [(0, 1)] and eda.extents(low, "v", "v").first()["bar_top"] == 0.0
+    assert eda.histogram(rows.where("v is null"), "v", 25.0).count() == 0 and eda.extents(rows.where("v is null"), "v", "v").first()["bar_top"] is None
+
+
+def test_single_runs_train(spark):
+    runs_ = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "accident_type string, severity_id string")
+    assert [tuple(r) for r in splits.single_run_types(runs_).collect()] == [("a",)]
+    assert sorted(tuple(r) for r in splits.routed(runs_, runs_).select("accident_type", "severity_id", "split").collect()) == [("a", "1", "train"), ("b", "1", "train"), ("b", "2", "test")]
