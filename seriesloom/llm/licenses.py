@@ -1,10 +1,11 @@
 """License scans: ordered signature rules over the words of a text.
 
 A rule is a regex over words that begins with a given first word and counts only where its
-family's keyword is in the text at all.  A text without any keyword is not looked at further.
+keyword, a word that the regex can't do without, is in the text at all.  A text without any keyword is not looked at further.
 At each first word the following words are matched against the rules of that word in their order;
 the first that matches is the detection there.  A detection inside the words of an earlier one of at
-least its priority is suppressed.
+least its priority is suppressed; a wider detection of lower priority around one of higher stays, as both
+name what the text says.  Of rules that tie at a first word the first in their order counts.
 
 * Words are runs of ASCII letters, digits and non-ASCII characters, in lower case; positions count
   words from 0.
@@ -29,12 +30,14 @@ L = "licen[sc]e"
 #: label; keyword; names of the license over words, most telling first ("L" in names: either spelling)
 FAMILIES = [
     ("agpl-3.0", "affero", [f"gnu affero general public {L}(?: version)? (?:v)?3", f"affero general public {L}"]),
-    ("agpl-3.0", "agpl", ["agpl (?:v)?3(?: 0)?", "agplv3", "gnu agpl"]),
+    ("agpl-3.0", "agpl", ["agpl (?:v)?3(?: 0)?", "gnu agpl"]),
+    ("agpl-3.0", "agplv3", ["agplv3"]),
     ("lgpl-3.0", "lesser", [f"gnu lesser general public {L}(?: version)? (?:v)?3"]),
     ("lgpl-2.1", "lesser", [f"gnu lesser general public {L}(?: version)? (?:v)?2 1"]),
     ("lgpl", "lesser", [f"gnu lesser general public {L}", f"lesser general public {L}"]),
     ("lgpl-2.0", "library", [f"gnu library general public {L}"]),
-    ("lgpl", "lgpl", ["lgpl (?:v)?3(?: 0)?", "lgpl (?:v)?2 1", "lgplv3", "gnu lgpl"]),
+    ("lgpl", "lgpl", ["lgpl (?:v)?3(?: 0)?", "lgpl (?:v)?2 1", "gnu lgpl"]),
+    ("lgpl", "lgplv3", ["lgplv3"]),
     ("gpl-3.0", "general", [f"gnu general public {L}(?: version)? (?:v)?3(?: 0)?", f"general public {L}(?: version)? (?:v)?3(?: 0)?"]),
     ("gpl-2.0", "general", [f"gnu general public {L}(?: version)? (?:v)?2(?: 0)?", f"general public {L}(?: version)? (?:v)?2(?: 0)?"]),
     ("gpl-1.0", "general", [f"gnu general public {L}(?: version)? (?:v)?1(?: 0)?"]),
@@ -54,7 +57,8 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", [f"bsd 3 clause(?: {L})?", f"(?:3 clause|three clause|new|modified|revised) bsd(?: {L})?"]),
     ("bsd-2-clause", "bsd", [f"bsd 2 clause(?: {L})?", f"(?:2 clause|two clause|simplified|freebsd) bsd(?: {L})?"]),
     ("bsd-4-clause", "bsd", [f"bsd 4 clause(?: {L})?", f"(?:4 clause|four clause|original) bsd(?: {L})?"]),
-    ("0bsd", "0bsd", ["0bsd", f"zero clause bsd(?: {L})?"]),
+    ("0bsd", "0bsd", ["0bsd"]),
+    ("0bsd", "zero", [f"zero clause bsd(?: {L})?"]),
     ("bsd", "bsd", [f"bsd {L}", f"bsd style {L}"]),
     ("isc", "isc", [f"isc {L}"]),
     ("mpl-2.0", "mozilla", [f"mozilla public {L}(?: version)? (?:v)?2(?: 0)?"]),
@@ -63,14 +67,18 @@ FAMILIES = [
     ("mpl-2.0", "mpl", ["mpl (?:v)?2(?: 0)?", "mpl 2 0"]),
     ("epl-2.0", "eclipse", [f"eclipse public {L}(?: version)? (?:v)?2(?: 0)?"]),
     ("epl", "eclipse", [f"eclipse public {L}", f"eclipse distribution {L}"]),
-    ("cddl", "cddl", ["cddl", f"common development and distribution {L}"]),
-    ("eupl", "eupl", ["eupl", f"european union public {L}"]),
-    ("cpl", "common", [f"common public {L}", f"ibm public {L}"]),
+    ("cddl", "cddl", ["cddl"]),
+    ("cddl", "development", [f"common development and distribution {L}"]),
+    ("eupl", "eupl", ["eupl"]),
+    ("eupl", "european", [f"european union public {L}"]),
+    ("cpl", "common", [f"common public {L}"]),
+    ("cpl", "ibm", [f"ibm public {L}"]),
     ("artistic-2.0", "artistic", [f"artistic {L}(?: version)? 2(?: 0)?"]),
     ("artistic", "artistic", [f"artistic {L}", f"perl artistic {L}"]),
     ("bsl-1.0", "boost", [f"boost software {L}"]),
     ("busl-1.1", "business", [f"business source {L}"]),
-    ("sspl", "sspl", ["sspl", f"server side public {L}"]),
+    ("sspl", "sspl", ["sspl"]),
+    ("sspl", "server", [f"server side public {L}"]),
     ("elastic-2.0", "elastic", [f"elastic {L}(?: 2 0)?"]),
     ("unlicense", "unlicense", ["unlicense", "the unlicense"]),
     ("wtfpl", "wtfpl", ["wtfpl"]),
@@ -107,7 +115,14 @@ GRANTS = {
     "available": "available under (?:the )?(?:terms of (?:the )?)?",
     "spdx": f"spdx {L} identifier ",
     "license": f"{L} ",
+    "licence": f"{L} ",
 }
+#: label and identifier as words, for the identifiers that no name above begins with
+SPDX = [
+    ("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("epl-2.0", "epl 2 0"), ("epl", "epl 1 0"), ("bsl-1.0", "bsl 1 0"), ("busl-1.1", "busl 1 1"), ("apache-1.1", "apache 1 1"),
+    ("bsd-3-clause", "bsd 3 clause"), ("mpl-1.1", "mpl 1 1"), ("gpl-1.0", "gpl 1 0"), ("gfdl", "gfdl"), ("psf", "python 2 0"), ("psf", "psf 2 0"), ("php", "php 3 01"), ("ruby", "ruby"), ("openssl", "openssl"),
+    ("ofl-1.1", "ofl 1 1"), ("ms-pl", "ms pl"), ("odbl", "odbl 1 0"), ("artistic-2.0", "artistic 2 0"), ("artistic", "artistic 1 0"), ("cpl", "cpl 1 0"), ("cpl", "ipl 1 0"), ("x11", "x11"), ("elastic-2.0", "elastic 2 0"),
+]
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
@@ -115,6 +130,7 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
     out = []
     for first, lead in GRANTS.items():
         out += [(first, keyword, f"^{lead}{name} ", label, 2, 1.0) for label, keyword, names in FAMILIES for name in names]
+    out += [("spdx", name.split(" ")[0], f"^{GRANTS['spdx']}{name} ", label, 2, 1.0) for label, name in SPDX]
     for label, keyword, names in FAMILIES:
         for name in names:
             firsts = name[3 : name.index(")")].split("|") if name.startswith("(?:") else [name]
@@ -159,7 +175,7 @@ def unsuppressed(found: Column) -> Column:
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with _words, _base (places of the base phrases) and _found (detections)."""
-    keywords = sorted({k for _, k, _ in FAMILIES} | {p.split(" ")[0] for p in BASE})
+    keywords = sorted({r[1] for r in rules()} | {p.split(" ")[0] for p in BASE})
     # lower() maps no other character to a letter of a base phrase, so it stands for A-Z here
     df = docs.withColumn("_words", F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TOKEN), F.lit(0)))
     df = df.withColumn("_present", F.array_intersect("_words", F.array(*map(F.lit, keywords))))

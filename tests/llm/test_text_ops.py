@@ -101,6 +101,24 @@ def test_licenses(spark, texts):
     assert len(licenses.rules()) >= 200 and all(re.compile(r[2]) for r in licenses.rules())
 
 
+def test_keywords_are_in_their_rules():
+    """No rule can match where its keyword is missing."""
+    for first, keyword, regex, *_ in licenses.rules():
+        needed = re.sub(r"\(\?:[^()]*\)\?", "", regex.strip("^ "))
+        while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", needed)) != needed:
+            needed = shorter
+        assert keyword in re.sub(r"\(\?:[^()]*\)", " ", needed).split(), (first, keyword, regex)
+
+
+def test_full_names_without_their_short_forms(spark):
+    want = {
+        "Common Development and Distribution License": "cddl", "European Union Public Licence": "eupl", "IBM Public License": "cpl", "Server Side Public License": "sspl", "zero-clause BSD": "0bsd",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "Licence: Zlib License": "zlib", "AGPLv3": "agpl-3.0",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(want.values())
+
+
 def counts_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = list(zip(words, words[1:], words[2:], strict=False))
