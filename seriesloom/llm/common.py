@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+@contextmanager
+def batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Plans that run inside send rows to Python in batches of about `size` bytes; a row is never cut."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of `df` in one struct, so that names an operator adds can't clash with them."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns))
