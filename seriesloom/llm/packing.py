@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import batches, staged, table
 from .tokens import cached
 
 MODEL = "word_bpe_49k.json"
 END_ID = 0
 LENGTH = 2048
+#: Bytes of rows that Python gets at once.
+BATCH = 1 << 22
 
 
 class CapacityTree:
@@ -127,7 +129,8 @@ def pieces(docs: DataFrame, model: str, length: int, end_id: int, id_col: str, t
 
 def pack(docs: DataFrame, model: str = MODEL, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = staged(pieces(docs, model, length, end_id, id_col, text_col), "pieces")
+    with batches(docs.sparkSession, BATCH):
+        cut = staged(pieces(docs, model, length, end_id, id_col, text_col), "pieces")
     each = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit_decreasing(counts, length)
