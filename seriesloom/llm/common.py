@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,27 @@ def batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+T = TypeVar("T")
+
+
+def tidied(parts: Iterator[T]) -> Iterator[T]:
+    """The same batches; after each one and at the end this worker hands free memory back to the machine.
+    Workers outlive their tasks, and the C library keeps what they freed, so an executor would
+    carry the peaks of all stages at once."""
+    for part in parts:
+        yield part
+        del part
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of `df` in one struct, so that names an operator adds can't clash with them."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, staged, table
+from .common import batches, staged, table, tidied
 from .tokens import cached
 
 MODEL = "word_bpe_49k.json"
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, model: str, length: int, end_id: int, id_col: str, t
                 seen[len(own)] += 1
             return out
 
-        for texts in parts:
+        for texts in tidied(parts):
             yield pd.Series([of(ids + end) for ids in cached(model).encode(texts.tolist())])
 
     # said to be non-deterministic, else Spark runs it twice: for the rows and to filter empty lists
