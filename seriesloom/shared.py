@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,8 +52,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver's JVM for a collection: Spark deletes shuffle files once nothing refers to the
-    query they belong to, and a driver with little to do may not collect for half an hour."""
+    """Asks both sides of the driver for a collection: Spark deletes shuffle files once nothing refers to the
+    query they belong to, neither Python's frames nor the JVM, which may not collect for half an hour."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
