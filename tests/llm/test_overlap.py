@@ -46,6 +46,28 @@ def test_exact_similarity(spark, monkeypatch, few, part, held):
     assert sorted(r["doc_id"] for r in got.collect()) == kept_ids(rows)
 
 
+def test_dense_groups_give_their_size():
+    """Texts of classes of their own, just below and above the least similarity: the pairs given on are links and connect
+    the texts as all links do, each joining two classes; also where two parts of a group meet."""
+    random, texts = np.random.default_rng(5), group(40, 300, 100)
+    for k in range(40):
+        own = {298, *(int(x) for x in 5 * random.integers(1, 58, 3))}
+        texts.append(" ".join(f"own{k}x{i}" if i in own else f"v{i}" for i in range(300)))
+    sets, none = wordhash.sets(texts, 5), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for part in (lambda k: None, lambda k: k % 2):
+        of = list(range(80))
+        links = [(a, b) for a in range(80) for b in range(a) if (part(a) is None or part(a) != part(b)) and overlap.similar(sets[a], sets[b], 0.8)]
+        for a, b in links:
+            of = [of[b] if x == of[a] else x for x in of]
+        got = overlap.spanning([(len(s), k, 1000 + k, part(k), s) for k, s in enumerate(sets)], none, 0.8)
+        found = list(range(80))
+        for a, b in got.itertuples(index=False):
+            assert (max(a, b), min(a, b)) in links and found[a] != found[b]
+            found = [found[b] if x == found[a] else x for x in found]
+        assert len(got) < 80 < len(links) and len(got) == 80 - len(set(of)) == 80 - len(set(found))
+    assert overlap.spanning([(len(s), k, 0, None, s) for k, s in enumerate(sets)], none, 0.8).empty
+
+
 def test_odd_rows(spark):
     rows = [(None, "x " * 300), (None, None), (4, ""), (5, "w y z"), (5, "w y z"), (6, "x " * 300)]
     for some, want in ((rows, [4, 5, 6]), ([], [])):
