@@ -36,12 +36,12 @@ def own_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
     return f"{folder or own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, folder: str | None = None, codec: str | None = None) -> DataFrame:
     """`df` written once to the shared folder and read from there, so that later steps neither repeat
-    its work nor depend on an executor that made it."""
+    its work nor depend on an executor that made it; compressed with `codec` if it is given."""
     spark = df.sparkSession
     path = own_path(spark, label, folder)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

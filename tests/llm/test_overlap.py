@@ -1,5 +1,8 @@
 """The pipeline's near-duplicates against all pairs in plain Python."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -90,3 +93,34 @@ def test_word_hashes(monkeypatch, texts=("", None, "a", "A", " a\t", "ab", "a b"
         bits = [int(2 * sum((int(h) >> b) & 1 for h in runs[x:y]) > y - x) << b for x, y in zip(bounds[:-1], bounds[1:], strict=True) for b in range(64)]
         assert wordhash.majorities(runs, bounds).tolist() == [sum(bits[64 * i : 64 * i + 64]) for i in range(len(texts))]
     assert wordhash.sets([], 5) == [] and not len(wordhash.words([])[0]) and (np.diff(wordhash.words([])[1]) == 0).all()
+
+
+def test_texts_stay_where_more_rows_than_one_send_pick_them(spark, monkeypatch):
+    """The limit of rows to send is crossed in all joins: no join moves texts, and the result is the same."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").repartition(3)
+    want = sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect())
+    monkeypatch.setattr(overlap, "SENT", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.dedup_stage(spark, docs, "")
+        assert sorted(r["doc_id"] for r in got.collect()) == want and len(want) < docs.count()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_files_go_with_their_query(spark, monkeypatch):
+    """Also where the JVM doesn't collect."""
+    monkeypatch.setattr(overlap, "release", lambda _: None)
+    spark._jvm.System.gc()
+    time.sleep(2)
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    corpus_pipeline.dedup_stage(spark, spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), "")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
